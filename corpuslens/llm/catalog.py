@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality
+from . import chat, decontaminate, line_dedup, packing, quality, token_output, url_filter
 
 QUERIES = {
+    "op2_token_output": token_output.op2_token_output,
+    "op3_packing": packing.op3_packing,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_chat_formatting": chat.op10_chat_formatting,
+}
+ORACLES = {
+    "op7_decontamination": decontaminate.OP7_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
+    "op10_chat_formatting": chat.OP10_SQL,
 }
-ORACLES = {"op7_decontamination": decontaminate.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL}

@@ -2,8 +2,8 @@
 
 Labelled pages become transactions of URL tokens (host labels, host suffixes,
 path segments, query keys), with one more item if the label says bad. FP-growth
-mines them; rules "tokens -> bad" that pass the support and confidence bounds,
-and that no shorter rule with as much confidence implies, form the filter. An
+mines them; rules "tokens -> bad" that pass the support (a share, and a count of
+pages) and confidence bounds, and that no shorter rule with as much confidence implies, form the filter. An
 inverted index from token to rules finds the rules whose tokens all occur.
 
 Hand-written rules ("host/path") come first: a rule fits its host and all
@@ -52,16 +52,17 @@ def tokens_of(url: Column) -> Column:
     return F.slice(F.array_distinct(found), 1, MAX_TOKENS)
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_confidence: float = 0.5, min_lift: float = 2.0, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 2.0, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """rule_id, antecedent (tokens), size, confidence, support: the rules that block."""
     spark = pages.sparkSession
     bad = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(F.col(label_col)).alias("_bad"))
     urls = pages.select(F.col(id_col).alias("_id"), tokens_of(F.col(url_col)).alias("items"))
     rows = urls.join(bad, "_id").select(F.when(F.col("_bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).filter(F.size("items") > 0)
     rows = C.written(rows, "url-transactions")
-    if rows.isEmpty():
+    n = rows.count()
+    if n < min_count:
         return spark.createDataFrame([], "rule_id long, antecedent array<string>, size int, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD).filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = C.written(rules.withColumn("size", F.size("antecedent")), "url-rules")
     other = rules.select(F.col("antecedent").alias("a2"), F.col("confidence").alias("c2"), F.col("size").alias("s2"), F.explode("antecedent").alias("t"))

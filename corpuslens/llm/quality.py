@@ -86,7 +86,7 @@ def cholesky(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """rows with d2: the squared Mahalanobis distance to their group's estimate (m*, l**, scale)."""
-    out, parts = rows.join(estimate, "g"), []
+    out, parts = rows.join(C.checked_broadcast(estimate, 400), "g"), []
     for i, z in enumerate(DIMS):
         y = F.col(z) - F.col(f"m{i}")
         for j in range(i):
@@ -99,14 +99,14 @@ def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def mcd(rows: DataFrame, keep_share: float, steps: int, floor: float, min_group: int) -> DataFrame:
     """A row for each group g of rows (g, z1..): location m*, lower factor l** of the scatter, scale."""
     medians = C.written(rows.groupBy("g").agg(*[F.percentile_approx(z, 0.5).alias(f"m{i}") for i, z in enumerate(DIMS)], F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group), "medians")
-    off = rows.join(medians, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, z in enumerate(DIMS)])
+    off = rows.join(C.checked_broadcast(medians, 200), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, z in enumerate(DIMS)])
     zero = {f"l{i}{j}": F.lit(0.0) for i in range(len(DIMS)) for j in range(i)}
     estimate = medians.drop("n").join(off, "g").select("g", *[f"m{i}" for i in range(len(DIMS))], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + floor**2).alias(f"l{i}{i}") for i in range(len(DIMS))], *[v.alias(k) for k, v in zero.items()])
     estimate = C.written(estimate, "mcd-start")
     for _ in range(steps):
         near = with_distance(rows, estimate)
         bound = C.written(near.groupBy("g").agg(F.percentile_approx("d2", keep_share).alias("b")), "mcd-bound")
-        half = near.join(bound, "g").filter("d2 <= b")
+        half = near.join(C.checked_broadcast(bound, 100), "g").filter("d2 <= b")
         pairs = [(j, i) for i in range(len(DIMS)) for j in range(i + 1)]
         moments = half.groupBy("g").agg(*[F.avg(z).alias(f"m{i}") for i, z in enumerate(DIMS)], *[F.covar_pop(DIMS[j], DIMS[i]).alias(f"c{j}{i}") for j, i in pairs])
         cov = {(j, i): F.col(f"c{j}{i}") + (floor**2 if i == j else 0.0) for j, i in pairs}
@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = with_statistics(docs.withColumn("_tk", C.text_key(F.col(text_col))), text_col).select(*others, "_tk", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", g.alias("g"), *vector())
     rows = C.written(rows, "statistics")
     estimate = mcd(rows.filter(~F.col("base_failed")).select("g", *DIMS), keep_share, steps, floor, min_group)
-    judged = rows.join(estimate, "g", "left")
+    judged = rows.join(C.checked_broadcast(estimate, 400), "g", "left")
     parts = []
     for i, z in enumerate(DIMS):
         y = F.col(z) - F.col(f"m{i}")

@@ -243,12 +243,17 @@ def resolve(sent: DataFrame, resolver: Resolver, shard_bytes: int = 3 << 20) ->
         size, at = 0, None
 
         def marks(spans):
-            found = list(zip(*resolver(spans), strict=True)) or [[], [], [], []]
+            # A salted span comes once for each of its salts, so these groups are judged one by one.
+            alone: dict[tuple[int, int], list[Span]] = {}
+            for s in spans:
+                if s[2] > 1:
+                    alone.setdefault(s[:2], []).append(s)
+            sets = [[s for s in spans if s[2] == 1], *alone.values()]
+            found = list(zip(*(m for part in sets if part for m in resolver(part)), strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int32())], names=["key", "hash", "a", "b"])
 
         def close():
             nonlocal group
-            # a key of one span that comes once has no repeats beyond the span
             shard.extend(tuple(x) for x in group)
             group = []
 

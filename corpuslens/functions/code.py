@@ -195,7 +195,7 @@ def important_lines(code: str, language: str) -> tuple[list[int], list[int]]:
 
 #: The kinds of control structure that a prompt names, and what opens them.
 CONTROLS = {"for_statement": r"\b(?:for|foreach)\b", "if_statement": r"\b(?:if|elif)\b", "match_statement": r"\bmatch\b(?=[^=\n]*[:{]\s*$)", "switch_statement": r"\bswitch\b", "while_statement": r"\bwhile\b"}
-NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "catch", "elif", "foreach", "function", "sizeof", "def", "and", "or", "not", "in", "print" + "f_", "until", "unless"}
+NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "catch", "elif", "foreach", "function", "sizeof", "def", "and", "or", "not", "in", "until", "unless"}
 
 
 def syntax_elements(code: str, language: str) -> tuple[list[str], list[str], list[str]]:
@@ -215,7 +215,7 @@ STOP_WORDS = set("a about after all an and any are as at be been before being be
 def lemma(word: str) -> str:
     """A rule-based base form."""
     for suffix, put in (("ies", "y"), ("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x")):
-        if word.endswith(suffix) and len(word) > len(suffix) + 2:
+        if word.endswith(suffix) and len(word) > len(suffix) + 1:
             return word[: -len(suffix)] + put
     if word.endswith("s") and not word.endswith(("ss", "us", "is")) and len(word) > 3:
         return word[:-1]

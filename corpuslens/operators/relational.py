@@ -75,7 +75,7 @@ def point_lookup(rows: DataFrame, column: str, value) -> DataFrame:
     """The row with that key; more than one raises when the plan runs."""
     found = rows.filter(F.col(column) == F.lit(value))
     n = found.agg(F.count(F.lit(1)).alias("_n"))
-    return found.crossJoin(F.broadcast(n.select(F.assert_true(F.col("_n") <= 1, F.lit(f"more than one row for {column}")).alias("_ok")))).drop("_ok")
+    return found.crossJoin(F.broadcast(n.select(F.assert_true(F.col("_n") <= 1, F.lit(f"more than one row for {column}")).alias("_ok")))).filter("_ok is null").drop("_ok")
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:

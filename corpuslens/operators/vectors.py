@@ -25,7 +25,7 @@ def exactly_n(vectors: DataFrame, n: int) -> DataFrame:
     """The first n by id; fewer raise when the plan runs."""
     found = first_n(vectors, n)
     count = found.agg(F.assert_true(F.count(F.lit(1)) == n, F.lit("fewer vectors than asked for")).alias("_ok"))
-    return found.crossJoin(F.broadcast(count)).drop("_ok")
+    return found.crossJoin(F.broadcast(count)).filter("_ok is null").drop("_ok")
 
 
 def norm(vector: Column) -> Column:

@@ -65,8 +65,8 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001,
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD).filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = C.written(rules.withColumn("size", F.size("antecedent")), "url-rules")
-    other = rules.select(F.col("antecedent").alias("a2"), F.col("confidence").alias("c2"), F.col("size").alias("s2"), F.explode("antecedent").alias("t"))
-    implied = rules.withColumn("t", F.explode("antecedent")).join(other, "t").filter("s2 < size AND c2 >= confidence").filter(F.size(F.array_except("a2", "antecedent")) == 0).select("antecedent").distinct()
+    other = rules.select(F.col("antecedent").alias("a2"), F.col("size").alias("s2"), F.explode("antecedent").alias("t"))
+    implied = rules.withColumn("t", F.explode("antecedent")).join(other, "t").filter("s2 < size").filter(F.size(F.array_except("a2", "antecedent")) == 0).select("antecedent").distinct()
     return C.written(rules.join(implied, "antecedent", "left_anti").withColumn("rule_id", F.xxhash64("antecedent")).select("rule_id", "antecedent", "size", "confidence", "support"), "url-filter")
 
 

@@ -166,9 +166,9 @@ def test_mined_rules_block_the_combination(spark):
     bad = lambda u: "h1." in u and "/ads/" in u
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(bad(u))) for i, u in rows if i < 200] + [(None, 1), (3, 0)], "doc_id long, toxic int")
-    mined = url_filter.mine_rules(pages, labels, min_support=0.01, min_count=5)
+    mined = url_filter.mine_rules(pages, labels, min_support=0.01, min_count=5, min_confidence=0.8)
     tokens = [frozenset(r["antecedent"]) for r in mined.collect()]
     assert tokens and all(not a < b for a in tokens for b in tokens)
-    got = url_filter.filter_urls(pages, labels, [], min_support=0.01, min_count=5)
+    got = url_filter.filter_urls(pages, labels, [], min_support=0.01, min_count=5, min_confidence=0.8)
     assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == {i for i, u in rows if bad(u)}
     assert url_filter.filter_urls(pages.limit(0), labels, []).count() == 0

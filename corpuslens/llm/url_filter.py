@@ -3,8 +3,10 @@
 Labelled pages become transactions of URL tokens (host labels, host suffixes,
 path segments, query keys), with one more item if the label says bad. FP-growth
 mines them; rules "tokens -> bad" that pass the support (a share, and a count of
-pages) and confidence bounds, and that no shorter rule with as much confidence implies, form the filter. An
-inverted index from token to rules finds the rules whose tokens all occur.
+pages), confidence and lift bounds, and that no shorter one implies, form the
+filter. Tokens that are too rare among bad pages for any such rule are left out
+before mining. An inverted index from token to rules finds the rules whose
+tokens all occur.
 
 Hand-written rules ("host/path") come first: a rule fits its host and all
 subdomains if the path starts with its path; the longest fitting rule wins.
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BAD = "\x00bad"
-#: Frequent itemsets use at most this many tokens of a URL.
-MAX_TOKENS = 24
 
 
 def host_of(url: Column) -> Column:
@@ -49,7 +49,7 @@ def tokens_of(url: Column) -> Column:
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
     found = F.concat(F.transform(host, lambda x: F.concat(F.lit("h:"), x)), F.transform(segments, lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "[0-9]+", "0"))), F.transform(keys, lambda x: F.concat(F.lit("q:"), x)))
-    return F.slice(F.array_distinct(found), 1, MAX_TOKENS)
+    return F.array_distinct(found)
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 2.0, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -59,11 +59,20 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001,
     urls = pages.select(F.col(id_col).alias("_id"), tokens_of(F.col(url_col)).alias("items"))
     rows = urls.join(bad, "_id").select(F.when(F.col("_bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).filter(F.size("items") > 0)
     rows = C.written(rows, "url-transactions")
+    none = spark.createDataFrame([], "rule_id long, antecedent array<string>, size int, confidence double, support double")
     n = rows.count()
     if n < min_count:
-        return spark.createDataFrame([], "rule_id long, antecedent array<string>, size int, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.filter(F.col("consequent")[0] == BAD).filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+        return none
+    support, bad_pages = max(min_support, min_count / n), max(1, rows.filter(F.array_contains("items", BAD)).count())
+    # at most (tokens of a URL) / support rows
+    useful = [r[0] for r in rows.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= support * n).select("t").collect()]
+    if not useful:
+        return none
+    kept = rows.withColumn("items", F.array_intersect("items", F.array(*map(F.lit, useful)).cast("array<string>"))).filter(F.size("items") > 0)
+    # pages without a useful token hold no itemset but count for the support
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / max(1, kept.count())), minConfidence=min_confidence).fit(kept)
+    rules = model.associationRules.filter(F.col("consequent")[0] == BAD).withColumn("lift", F.col("confidence") * n / bad_pages)
+    rules = rules.filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * kept.count() / n).alias("support"))
     rules = C.written(rules.withColumn("size", F.size("antecedent")), "url-rules")
     other = rules.select(F.col("antecedent").alias("a2"), F.col("size").alias("s2"), F.explode("antecedent").alias("t"))
     implied = rules.withColumn("t", F.explode("antecedent")).join(other, "t").filter("s2 < size").filter(F.size(F.array_except("a2", "antecedent")) == 0).select("antecedent").distinct()

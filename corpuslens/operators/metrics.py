@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.materialize import fixed
+
 
 def _classes(spark: SparkSession, classes: list) -> DataFrame:
     return spark.createDataFrame([(c,) for c in classes], "class int")
@@ -51,7 +53,8 @@ def _by_score(rows: DataFrame, truth: str, score: str) -> DataFrame:
 def running(rows: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
     """rows with c_before: the sum of each column over the rows before, by range partitions and their totals."""
     key = F.desc(order) if descending else F.asc(order)
-    placed = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    # Range bounds are sampled anew on each evaluation; the checkpoint makes totals and rows agree.
+    placed = fixed(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in columns])

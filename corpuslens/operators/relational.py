@@ -6,9 +6,10 @@ are counted before they meet wider rows, and joins carry keys only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.materialize import fixed
 from corpuslens.schemas import binary_label
 
 
@@ -88,9 +89,8 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with row_no = 1..n in the order of the columns, by a distributed sort."""
-    from pyspark.sql import Window
-
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Range bounds are sampled anew on each evaluation; the checkpoint makes counts and rows agree.
+    placed = fixed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     ends = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = ends.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")

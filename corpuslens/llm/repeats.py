@@ -35,7 +35,7 @@ BITS = 27
 #: At most so many keys are hot, whatever the corpus.
 MOST_HOT = 50_000
 HOT_SPANS = 4_000
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * A1)
 
 
@@ -51,10 +51,6 @@ class Kind:
     def per_window(self) -> int:
         return self.window - self.gram + 1
 
-    @property
-    def power(self) -> int:
-        return 1 << (self.window.bit_length() - 1)
-
 
 @dataclass
 class Chunk:
@@ -84,18 +80,21 @@ def chunk_of(texts: list[bytes], kind: Kind) -> Chunk:
 
 @dataclass
 class Spans:
-    """By span: its document (in the chunk), first symbol, number of windows, key, content hash, and 2 if it may repeat itself."""
+    """By span: its document (in the chunk), first symbol, number of windows, key, and 2 if it may repeat itself; all grams."""
 
     doc: np.ndarray
     start: np.ndarray
     n: np.ndarray
     key: np.ndarray
-    content_hash: np.ndarray
     weight: np.ndarray
-    powers: np.ndarray
+    grams: np.ndarray
+
+    def content_hash(self, who: np.ndarray, kind: Kind) -> np.ndarray:
+        """A hash of all symbols of each span in who."""
+        return cover(self.grams, self.start[who], self.n[who] + kind.window - 1, kind)
 
 
-def spans_of(chunk: Chunk, kind: Kind, want_hash: bool = True) -> Spans | None:
+def spans_of(chunk: Chunk, kind: Kind) -> Spans | None:
     w, size, x = kind.per_window, kind.window, chunk.x
     # A byte document is followed by a blank of its own, which belongs to no window.
     last = chunk.begins[1:] - (kind.symbol == "byte") - size + 1
@@ -126,34 +125,33 @@ def spans_of(chunk: Chunk, kind: Kind, want_hash: bool = True) -> Spans | None:
         begin = start[which] + within * w
         stop, start, doc, weight = np.minimum(begin + w, stop[which]), begin, doc[which], weight[which]
     n = stop - start
-    key = mix(low[start] ^ A2)
-    powers = grams(x, kind.power) if want_hash else x[:0]
-    content_hash = key
-    if want_hash:
-        content_hash = _cover(powers, start, n + size - 1, kind.power)
-    return Spans(doc, start, n, key, content_hash, weight, powers)
+    return Spans(doc, start, n, mix(low[start] ^ A2), weight, g)
 
 
-def _cover(powers: np.ndarray, start: np.ndarray, length: np.ndarray | int, p: int) -> np.ndarray:
-    """A hash of length symbols from start, by three grams of p symbols that cover them."""
-    h = mix(powers[start] ^ (np.asarray(length).astype(np.uint64) * A1))
-    h = mix(h * A1 + powers[start + (length - p) // 2])
-    return mix(h * A2 + powers[start + length - p])
+def cover(found: np.ndarray, start: np.ndarray, length: np.ndarray, kind: Kind) -> np.ndarray:
+    """A hash of length symbols from each start, by the grams that cover them."""
+    h = length.astype(np.uint64) * A1
+    most = int(length.max()) if len(length) else 0
+    for at in range(0, most, kind.gram):
+        h = mix(h * A1 + found[start + np.minimum(at, length - kind.gram)])
+    return h
 
 
-def window_hashes(chunk_x_powers: np.ndarray, at: np.ndarray, kind: Kind) -> np.ndarray:
-    return _cover(chunk_x_powers, at, kind.window, kind.power)
+def window_hashes(s: Spans, i: int, kind: Kind) -> np.ndarray:
+    """A hash of each window of span i."""
+    at = np.arange(s.start[i], s.start[i] + s.n[i])
+    return cover(s.grams, at, np.full(len(at), kind.window), kind)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)).alias("ord"), C.text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
 
 
-def chunks(batches, kind: Kind, want_hash: bool) -> Iterator[tuple[pa.RecordBatch, Chunk, Spans]]:
+def chunks(batches, kind: Kind) -> Iterator[tuple[pa.RecordBatch, Chunk, Spans]]:
     for batch in batches:
-        for part, texts in sliced(batch):
+        for part, texts in sliced(batch, 250_000):
             chunk = chunk_of(texts, kind)
-            if (found := spans_of(chunk, kind, want_hash)) is not None:
+            if (found := spans_of(chunk, kind)) is not None:
                 yield part, chunk, found
 
 
@@ -161,7 +159,7 @@ def recurring_keys(rows: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
     """key, n of keys that come more than once (as a table), and how many spans there are."""
 
     def emit(batches):
-        for _, _, s in chunks(batches, kind, False):
+        for _, _, s in chunks(batches, kind):
             yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.array(s.weight, pa.int64())], names=["key", "n"])
 
     counts = rows.select("text").mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -205,12 +203,12 @@ def send_spans(rows: DataFrame, kind: Kind, bits, hot) -> DataFrame:
             data = list(zip(*[(k, s, v[0], h, v[1], v[2], v[3]) for (k, s, h), v in held.items()], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(data, SPAN_FIELDS, strict=True)], names=[n for n, _ in SPAN_FIELDS])
 
-        for _, chunk, s in chunks(batches, kind, True):
+        for _, chunk, s in chunks(batches, kind):
             who = np.flatnonzero(in_bitmap(table, s.key))
-            key, h = s.key[who].view(np.int64).tolist(), s.content_hash[who].view(np.int64).tolist()
+            key, h = s.key[who].view(np.int64).tolist(), s.content_hash(who, kind).view(np.int64).tolist()
             for k, x, i in zip(key, h, who.tolist(), strict=True):
                 salts = few.get(k, 1)
-                mine = (0,) if salts == 1 else np.unique(window_hashes(s.powers, np.arange(s.start[i], s.start[i] + s.n[i]), kind) % U(salts)).tolist()
+                mine = (0,) if salts == 1 else np.unique(window_hashes(s, i, kind) % U(salts)).tolist()
                 for salt in mine:
                     if (old := held.get((k, salt, x))) is not None:
                         old[2] += 1
@@ -234,7 +232,7 @@ Span = tuple[int, int, int, int, int, int, bytes]
 Resolver = Callable[[list[Span]], Iterator[tuple[int, int, int, int]]]
 
 
-def resolve(sent: DataFrame, resolver: Resolver, shard_bytes: int = 3 << 20) -> DataFrame:
+def resolve(sent: DataFrame, resolver: Resolver, shard_bytes: int = 1 << 20) -> DataFrame:
     """Runs the resolver on shards of whole (key, salt) groups of about shard_bytes."""
 
     def run(batches):
@@ -289,11 +287,11 @@ def removed_ranges(docs: DataFrame, kind: Kind, resolver: Resolver, id_col: str
 
     def occurrences(batches):
         table = np.frombuffer(bits.value, np.uint8)
-        for part, chunk, s in chunks(batches, kind, True):
+        for part, chunk, s in chunks(batches, kind):
             who = np.flatnonzero(in_bitmap(table, s.key))
             doc = s.doc[who]
             ids = [part.column(c).to_numpy()[doc] for c in ("ord", "tk")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(s.key[who].view(np.int64)), pa.array(s.content_hash[who].view(np.int64)), pa.array((s.start[who] - chunk.begins[doc]).astype(np.int64))], names=["ord", "tk", "key", "hash", "start"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(s.key[who].view(np.int64)), pa.array(s.content_hash(who, kind).view(np.int64)), pa.array((s.start[who] - chunk.begins[doc]).astype(np.int64))], names=["ord", "tk", "key", "hash", "start"])
 
     found = rows.mapInArrow(occurrences, "ord long, tk long, key long, hash long, start long").join(marks, ["key", "hash"]).select("ord", "tk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 

@@ -100,10 +100,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def sliced(batch: pa.RecordBatch, most: int = 1_000_000, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Consecutive parts of a batch of about `most` bytes of text, with the texts as bytes (null: empty)."""
+    """Consecutive parts of a batch of about `most` bytes of text, with the texts as bytes (null: empty); a longer text comes alone."""
     texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
     start = size = 0
     for i, t in enumerate(texts):
+        if len(t) >= most and start < i:
+            yield batch.slice(start, i - start), texts[start:i]
+            start, size = i, 0
         size += len(t)
         if size >= most:
             yield batch.slice(start, i + 1 - start), texts[start : i + 1]

@@ -147,19 +147,36 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)).alias("ord"), C.text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
 
 
-def chunks(batches, kind: Kind) -> Iterator[tuple[pa.RecordBatch, Chunk, Spans]]:
+def pieces(text: bytes, kind: Kind, most: int) -> Iterator[tuple[int, bytes]]:
+    """A long text as pieces that overlap by a window less one symbol, so that each window starts in one piece, with its first symbol."""
+    if kind.symbol == "byte":
+        for base in range(0, max(1, len(text) - kind.window + 1), most):
+            yield base, text[base : base + most + kind.window - 1]
+        return
+    starts, ends = word_bounds(np.frombuffer(text + b" ", np.uint8))
+    step = max(1, most * len(starts) // max(1, len(text)))
+    for base in range(0, max(1, len(starts) - kind.window + 1), step):
+        stop = min(len(starts), base + step + kind.window - 1)
+        if stop > base:
+            yield base, text[starts[base] : ends[stop - 1]]
+
+
+def chunks(batches, kind: Kind, most: int = 250_000) -> Iterator[tuple[pa.RecordBatch, Chunk, Spans, int]]:
+    """Parts of the batches, their symbols and spans, and the first symbol's place in its document (not 0 only for long texts)."""
     for batch in batches:
-        for part, texts in sliced(batch, 250_000):
-            chunk = chunk_of(texts, kind)
-            if (found := spans_of(chunk, kind)) is not None:
-                yield part, chunk, found
+        for part, texts in sliced(batch, most):
+            several = pieces(texts[0], kind, most) if len(texts) == 1 else [(0, None)]
+            for base, piece in several:
+                chunk = chunk_of(texts if piece is None else [piece], kind)
+                if (found := spans_of(chunk, kind)) is not None:
+                    yield part, chunk, found, base
 
 
 def recurring_keys(rows: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
     """key, n of keys that come more than once (as a table), and how many spans there are."""
 
     def emit(batches):
-        for _, _, s in chunks(batches, kind):
+        for _, _, s, _ in chunks(batches, kind):
             yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.array(s.weight, pa.int64())], names=["key", "n"])
 
     counts = rows.select("text").mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -203,7 +220,7 @@ def send_spans(rows: DataFrame, kind: Kind, bits, hot) -> DataFrame:
             data = list(zip(*[(k, s, v[0], h, v[1], v[2], v[3]) for (k, s, h), v in held.items()], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(data, SPAN_FIELDS, strict=True)], names=[n for n, _ in SPAN_FIELDS])
 
-        for _, chunk, s in chunks(batches, kind):
+        for _, chunk, s, _ in chunks(batches, kind):
             who = np.flatnonzero(in_bitmap(table, s.key))
             key, h = s.key[who].view(np.int64).tolist(), s.content_hash(who, kind).view(np.int64).tolist()
             for k, x, i in zip(key, h, who.tolist(), strict=True):
@@ -287,11 +304,11 @@ def removed_ranges(docs: DataFrame, kind: Kind, resolver: Resolver, id_col: str
 
     def occurrences(batches):
         table = np.frombuffer(bits.value, np.uint8)
-        for part, chunk, s in chunks(batches, kind):
+        for part, chunk, s, base in chunks(batches, kind):
             who = np.flatnonzero(in_bitmap(table, s.key))
             doc = s.doc[who]
             ids = [part.column(c).to_numpy()[doc] for c in ("ord", "tk")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(s.key[who].view(np.int64)), pa.array(s.content_hash(who, kind).view(np.int64)), pa.array((s.start[who] - chunk.begins[doc]).astype(np.int64))], names=["ord", "tk", "key", "hash", "start"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(s.key[who].view(np.int64)), pa.array(s.content_hash(who, kind).view(np.int64)), pa.array((s.start[who] - chunk.begins[doc] + base).astype(np.int64))], names=["ord", "tk", "key", "hash", "start"])
 
     found = rows.mapInArrow(occurrences, "ord long, tk long, key long, hash long, start long").join(marks, ["key", "hash"]).select("ord", "tk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 

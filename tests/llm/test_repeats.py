@@ -27,6 +27,7 @@ TEXTS = [
     PASSAGE.replace(" ", "\n", 7) + "  " + prose(80, 6), "a " * 400, "x" * 500, "ab" * 300, "x" * 500 + " tail",
     " ".join(map(str, range(100))), " ".join(map(str, range(50, 160))), "q" * 199, "q" * 200, "z" * 205, "z" * 1500 + prose(20, 8),
     "é" * 300, prose(34, 9), prose(34, 9), prose(35, 10), prose(35, 10), prose(5000, 11) + PASSAGE,
+    prose(60_000, 12) + " " + PASSAGE + " " + prose(9000, 13), prose(300, 14) + " " + prose(60_000, 12)[250_000:262_000],
 ]
 
 
@@ -64,6 +65,19 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot):
     assert [(a, b, c, bytes(d)) for a, b, c, d in got] == brute(TEXTS, 200, False)
 
 
+@pytest.mark.parametrize("kind", [repeats.Kind("word", 35, 6), repeats.Kind("byte", 200, 32)])
+def test_pieces_of_long_texts_hold_each_window_once(kind):
+    text = prose(3000, 77).encode()
+    symbols = text.split() if kind.symbol == "word" else text
+    found = []
+    for base, piece in repeats.pieces(text, kind, 700):
+        mine = piece.split() if kind.symbol == "word" else piece
+        for i in range(len(mine) - kind.window + 1):
+            assert mine[i : i + kind.window] == symbols[base + i : base + i + kind.window]
+            found.append(base + i)
+    assert found == list(range(len(symbols) - kind.window + 1))
+
+
 def test_dedup_of_an_empty_table(spark):
     empty = docs_of(spark, [])
     assert substring_dedup(empty).count() == 0

@@ -9,10 +9,9 @@ All other texts go through the tokenizer whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -28,51 +27,59 @@ def plain_word(part: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
+#: In place of the ids of a part that isn't a plain word.
+ODD = b""
+
+
 class Encoder:
-    """most: cached words; the cache is emptied when it grows beyond that."""
+    """most: words of a cache generation; when one is full, a new one begins and takes over the words that are still in use."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.most, self.words, self.heads = most, {}, {}
+        self.most = most
+        self.words: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, cache: dict, parts: Iterable[str], lead: str) -> None:
-        new = [p for p in set(parts) if p not in cache]
-        plain = [p for p in new if plain_word(p)]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(plain, self._ids([p if p[0] == "\n" else lead + p for p in plain]), strict=True))
+            ids = e.ids
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, cache: dict, parts: Iterable[str], lead: str, old: dict) -> None:
+        """Fills the cache for parts it does not hold; ODD marks those that aren't plain words."""
+        new = []
+        for p in parts:
+            if p in old:
+                cache[p] = old[p]
+            elif plain_word(p):
+                new.append(p)
+            else:
+                cache[p] = ODD
+        cache.update(zip(new, self._ids([p if p[0] == "\n" else lead + p for p in new]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.words) + len(self.heads) > self.most:
-            self.words, self.heads = {}, {}
-        split = [(t or "").replace("\n", " \n").split(" ") if "<|" not in (t or "") else None for t in texts]
-        self._learn(self.heads, [s[0] for s in split if s], "")
+        if len(self.words) > self.most:
+            self.old, self.words = self.words, {}
+        if len(self.heads) > self.most // 8:
+            self.heads = {}
+        get, heads = self.words.get, self.heads
+        split = [t.replace("\n", " \n").split(" ") if t and "<|" not in t else [] for t in texts]
+        self._learn(heads, {s[0] for s in split if s} - heads.keys(), "", {})
+        found = [[heads[s[0]], *map(get, s[1:])] if s else [] for s in split]
         fresh: set[str] = set()
-        for s in split:
-            if s:
-                fresh.update(s[1:])
-        self._learn(self.words, fresh, " ")
-        out: list[bytes | None] = []
-        for t, s in zip(texts, split, strict=True):
-            if not t:
-                out.append(b"")
-                continue
-            found = None
-            if s and (head := self.heads[s[0]]) is not None:
-                try:
-                    found = head + b"".join(map(self.words.__getitem__, s[1:]))
-                except TypeError:  # a part that isn't a plain word
-                    found = None
-            out.append(found)
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i in odd:
-            out[i] = next(self._ids([texts[i]]))
+        for s, f in zip(split, found, strict=True):
+            if None in f:
+                fresh.update([s[i] for i, x in enumerate(f) if x is None])
+        self._learn(self.words, fresh, " ", self.old)
+        out = []
+        for t, s, f in zip(texts, split, found, strict=True):
+            if None in f:
+                f = [get(p) if x is None else x for x, p in zip(f, s, strict=True)]
+            out.append(b"" if not t else next(self._ids([t])) if not s or ODD in f else b"".join(f))
         return out
 
 

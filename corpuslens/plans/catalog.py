@@ -9,6 +9,7 @@ from corpuslens import schemas
 from corpuslens.functions import chunker, code, text
 from corpuslens.operators import annotate, classify, dml, encode, metrics, prompts, relational, rollup, splits, vectors
 from corpuslens.plans import standins as S
+from corpuslens.sources import files as sources
 from corpuslens.streaming import queue
 
 QUERIES: dict = {}
@@ -155,6 +156,12 @@ def snippet_batch_count(spark, d):
     return relational.batch_count(S.snippets(spark, d).filter(~F.col("processed")), 50)
 
 
+@query("SELECT repository_id, CASE WHEN label = 'benign' THEN 'benign' ELSE 'malicious' END AS label, CASE WHEN label = 'benign' THEN 0 ELSE 1 END::INTEGER AS y FROM repositories")
+def binary_labels(spark, d):
+    rows = relational.with_binary_label(S.repositories(spark, d)).select("repository_id", "label")
+    return rows.withColumn("y", encode.label_index(F.col("label")))
+
+
 # --- changes ---------------------------------------------------------------
 
 
@@ -334,12 +341,12 @@ def truncate_lines(spark, d):
     return S.table(spark, d, "documents").select("doc_id", text.truncate_lines(F.col("text"), 5).alias("shown"))
 
 
-@query("SELECT doc_id, 1 + coalesce(sum(n + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_line FROM (SELECT doc_id, source, len(text) - len(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS n FROM documents)")
+@query("SELECT doc_id, 1 + coalesce(sum(n + 2) OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_line FROM (SELECT doc_id, source, len(text) - len(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS n FROM documents)")
 def append_line_offsets(spark, d):
     from pyspark.sql import Window
 
     rows = S.table(spark, d, "documents").select("doc_id", "source", text.line_count(text.normalize_eol(F.col("text"))).cast("long").alias("n"))
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", F.floor(F.col("doc_id") / 100)).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("doc_id", (F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)) + 1).cast("long").alias("start_line"))
 
 
@@ -379,6 +386,28 @@ def path_to_repo_label(spark, d):
     return S.table(spark, d, "pages").select("page_id", repository.alias("repository"), label.alias("label"))
 
 
+@query(r"SELECT page_id, regexp_extract(url, '[^/]*$') AS filename, 'html' AS language FROM pages WHERE regexp_matches(url, '\.[hH][tT][mM][lL]$')")
+def file_languages(spark, d):
+    """Files of unknown suffix are left out."""
+    rows = S.table(spark, d, "pages").select("page_id", F.substring_index("url", "/", -1).alias("filename"))
+    return sources.with_language(rows).filter("language = 'html'")
+
+
+@query("""SELECT 'benign/' || source || '/' || lang || (doc_id // 50) || '.txt' AS path, sha256(string_agg(CASE WHEN ends_with(t, chr(10)) THEN t ELSE t || chr(10) END || chr(10) || chr(10), '' ORDER BY doc_id)) AS digest
+FROM (SELECT doc_id, source, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents) GROUP BY source, lang, doc_id // 50""")
+def append_functions(spark, d):
+    rows = S.table(spark, d, "documents").select(F.concat(F.lit("owner/"), "source").alias("repository_name"), F.concat("lang", F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".txt")).alias("func_path"), F.col("doc_id").alias("ordinal"), F.col("text").alias("code"))
+    return sources.appended_functions(rows).select("path", F.sha2("source", 256).alias("digest"))
+
+
+@query()
+def report_sections(spark, d):
+    """Documents as older reports: sections with sentences."""
+    report = F.concat(F.lit("**Chunk 1** x\nFunctionalities: "), F.col("text"), F.lit(" **Chunk 2** y\nFunctionalities: Reads. Writes."))
+    rows = S.table(spark, d, "documents").select("doc_id", F.explode(text.report_sections(report)).alias("s"))
+    return rows.select("doc_id", "s.chunk", F.size("s.sentences").alias("sentences"))
+
+
 @query(r"SELECT page_id, CASE WHEN n = '' THEN 'unknown' ELSE n END AS name FROM (SELECT page_id, regexp_extract(html, '\b([a-zA-Z_]\w*)\s*\([^;{]*\)\s*\{', 1) AS n FROM pages)")
 def extract_function_name(spark, d):
     return S.table(spark, d, "pages").select("page_id", text.function_name(F.col("html")).alias("name"))

@@ -277,6 +277,28 @@ def test_retries():
         annotate.with_retry(lambda _: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)("p")
 
 
+def test_batch_jobs(tmp_path):
+    from corpuslens.operators.batch_jobs import Service, run_jobs
+
+    polls = {}
+
+    def status(job):
+        polls[job] = polls.get(job, 0) + 1
+        if job == "job:slow":
+            return {"state": "in_progress"}
+        return {"state": "completed" if polls[job] > 2 else "in_progress", "output": f"out:{job}", "error": None}
+
+    def upload(path):
+        if path.endswith("bad"):
+            raise OSError("no such file")
+        return path.rsplit("/", 1)[-1].split(".")[0]
+
+    service = Service(upload, lambda f: f"job:{f}", status, lambda f: f.encode())
+    got = run_jobs(service, ["d/b.jsonl", "d/a.jsonl", "d/slow.jsonl", "d/bad"], str(tmp_path), at_once=3, poll_s=1, most_s=5, sleep=lambda _: None)
+    assert [x["state"] for x in got] == ["completed", "completed", "error: no such file", "timeout"]
+    assert (tmp_path / "a_output.jsonl").read_bytes() == b"out:job:a"
+
+
 # --- splits, metrics, vectors, model --------------------------------------
 
 

@@ -9,6 +9,7 @@ All other texts go through the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,19 @@ def plain_word(part: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable ones stand for themselves, the others follow from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
+
+
+def letters_and_marks(word: str) -> tuple[str, str] | None:
+    """A word of letters (of scripts that every Unicode version knows alike) and closing marks: the pre-tokenizer cuts between the two."""
+    stem = word.rstrip(".,;:!?")
+    return (stem, word[len(stem) :]) if stem.isalpha() and max(stem) < "\u0500" else None
+
+
 #: In place of the ids of a part that isn't a plain word.
 ODD = b""
 
@@ -37,7 +51,14 @@ class Encoder:
     def __init__(self, path: str | None = None, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        path = path or tokenizer_path()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        level = spec["pre_tokenizer"] or {}
+        #: Whether the tokenizer splits as this module assumes; otherwise all texts are encoded whole.
+        self.splits = spec["normalizer"] is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and spec["model"]["type"] == "BPE" and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.model, self.letters, self.marks = self.tokenizer.model, byte_letters(), {}
         self.most = most
         self.words: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes | None] = {}
@@ -48,16 +69,36 @@ class Encoder:
             ids = e.ids
             yield struct.pack(f"<{len(ids)}I", *ids)
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what the pre-tokenizer leaves whole, straight from the model."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, part: str, lead: str) -> bytes | None:
+        """The ids of a plain word of letters and closing marks; None for others."""
+        if part[0] == "\n":
+            found, start, lead = letters_and_marks(part[1:]), self._mark("\n"), ""
+        else:
+            found, start = letters_and_marks(part), b""
+        return None if found is None else start + self._piece(lead + found[0]) + self._mark(found[1])
+
+    def _mark(self, marks: str) -> bytes:
+        if marks and marks not in self.marks:
+            self.marks[marks] = self._piece(marks)
+        return self.marks.get(marks, b"")
+
     def _learn(self, cache: dict, parts: Iterable[str], lead: str, old: dict) -> None:
         """Fills the cache for parts it does not hold; ODD marks those that aren't plain words."""
         new = []
         for p in parts:
             if p in old:
                 cache[p] = old[p]
-            elif plain_word(p):
-                new.append(p)
-            else:
+            elif not plain_word(p):
                 cache[p] = ODD
+            elif (ids := self._word(p, lead)) is not None:
+                cache[p] = ids
+            else:
+                new.append(p)
         cache.update(zip(new, self._ids([p if p[0] == "\n" else lead + p for p in new]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -67,7 +108,7 @@ class Encoder:
         if len(self.heads) > self.most // 8:
             self.heads = {}
         get, heads = self.words.get, self.heads
-        split = [t.replace("\n", " \n").split(" ") if t and "<|" not in t else [] for t in texts]
+        split = [t.replace("\n", " \n").split(" ") if t and self.splits and "<|" not in t else [] for t in texts]
         self._learn(heads, {s[0] for s in split if s} - heads.keys(), "", {})
         found = [[heads[s[0]], *map(get, s[1:])] if s else [] for s in split]
         fresh: set[str] = set()
@@ -83,7 +124,7 @@ class Encoder:
         return out
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most_chars: int = 300_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about so many characters."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -11,7 +11,7 @@ from corpuslens.llm.tokens import Encoder
 
 TEXTS = [
     None, "", " ", "\n", "a", "Hello world", "don't I'll 12 3 a's\nnew  line", "  lead", "trail \n", "x\t y", "a\n\nb", "é\n\u00a0ü", "a <|endoftext|> b",
-    "word " * 3000 + "end", "plain text, twice.\nand a line", "plain text, twice.\nand a line", "a\x1c b", "日本語 テキスト", "q" * 5000,
+    "word " * 3000 + "end", "plain text, twice.\nand a line", "plain text, twice.\nand a line", "a\x1c b", "日本語 テキスト", "q" * 5000, "Hello, world! Why?! été. İstanbul; ﬁne ª½x x² o'clock. it's", "\nFoo. \nbar,\nBAZ!? naïve… Жук. Ωμέγα: ʰx",
 ]
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import Encoder, slices
+from .tokens import Encoder, texts_of
 
 PIECES = "doc_id long, tk long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -67,10 +67,10 @@ def pieces_of(docs: DataFrame, length: int, end_id: int, tokenizer: str | None,
     def cut(batches):
         encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            names, keys = batch.column("id").to_pylist(), batch.column("tk").to_pylist()
+            for first, texts in texts_of(batch):
                 out: dict[str, list] = {n: [] for n, _ in fields}
-                for name, tk, found in zip(batch.column("id")[a:b].to_pylist(), batch.column("tk")[a:b].to_pylist(), encoder.encode(texts[a:b]), strict=True):
+                for name, tk, found in zip(names[first : first + len(texts)], keys[first : first + len(texts)], encoder.encode(texts), strict=True):
                     raw = found + end
                     for at in range(0, len(raw), 4 * length):
                         piece = raw[at : at + 4 * length]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import Encoder, slices
+from .tokens import Encoder, texts_of
 
 MAGIC, BLOCK = b"PFR1", 4096
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<long>, counts array<long>, total long, payload binary"
@@ -134,9 +134,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, names, shard = batch.column("text").to_pylist(), batch.column("id").to_pylist(), batch.column("shard")[0].as_py()
-            for a, b in slices(texts):
-                for name, found in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
+            names, shard = batch.column("id").to_pylist(), batch.column("shard")[0].as_py()
+            for first, texts in texts_of(batch):
+                for name, found in zip(names[first : first + len(texts)], encoder.encode(texts), strict=True):
                     ids.append(name)
                     held.append(found + end)
                     counts.append(len(found) // 4 + 1)

@@ -48,16 +48,17 @@ ODD = b""
 class Encoder:
     """most: words of a cache generation; when one is full, a new one begins and takes over the words that are still in use."""
 
-    def __init__(self, path: str | None = None, most: int = 500_000):
+    def __init__(self, path: str | None = None, most: int = 250_000):
         from tokenizers import Tokenizer
 
         path = path or tokenizer_path()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        spec["model"] = spec["model"]["type"]
         level = spec["pre_tokenizer"] or {}
         #: Whether the tokenizer splits as this module assumes; otherwise all texts are encoded whole.
-        self.splits = spec["normalizer"] is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and spec["model"]["type"] == "BPE" and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.splits = spec["normalizer"] is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and spec["model"] == "BPE" and all("<|" in t["content"] for t in spec["added_tokens"])
         self.model, self.letters, self.marks = self.tokenizer.model, byte_letters(), {}
         self.most = most
         self.words: dict[str, bytes | None] = {}
@@ -124,13 +125,15 @@ class Encoder:
         return out
 
 
-def slices(texts: list[str | None], most_chars: int = 300_000) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about so many characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def texts_of(batch, column: str = "text", rows: int = 256, most_chars: int = 300_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive texts of an Arrow batch, a few at a time, with the row of the first: Python strings of the whole batch never exist together."""
+    for first in range(0, batch.num_rows, rows):
+        texts = batch.column(column).slice(first, rows).to_pylist()
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= most_chars:
+                yield first + start, texts[start : i + 1]
+                start, size = i + 1, 0
+        if start < len(texts):
+            yield first + start, texts[start:]

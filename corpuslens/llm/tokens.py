@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, str]:
 def letters_and_marks(word: str) -> tuple[str, str] | None:
     """A word of letters (of scripts that every Unicode version knows alike) and closing marks: the pre-tokenizer cuts between the two."""
     stem = word.rstrip(".,;:!?")
-    return (stem, word[len(stem) :]) if stem.isalpha() and max(stem) < "\u0500" else None
+    return (stem, word[len(stem) :]) if stem.isalpha() and (stem.isascii() or max(stem) < "\u0500") else None
 
 
 #: In place of the ids of a part that isn't a plain word.
@@ -72,7 +72,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of what the pre-tokenizer leaves whole, straight from the model."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return self._pack(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _pack(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, part: str, lead: str) -> bytes | None:
@@ -81,7 +84,11 @@ class Encoder:
             found, start, lead = letters_and_marks(part[1:]), self._mark("\n"), ""
         else:
             found, start = letters_and_marks(part), b""
-        return None if found is None else start + self._piece(lead + found[0]) + self._mark(found[1])
+        if found is None:
+            return None
+        # ASCII letters stand for themselves
+        ids = self._pack(self.letters[32] * len(lead) + found[0]) if found[0].isascii() else self._piece(lead + found[0])
+        return start + ids + self._mark(found[1]) if start or found[1] else ids
 
     def _mark(self, marks: str) -> bytes:
         if marks and marks not in self.marks:

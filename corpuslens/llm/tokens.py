@@ -41,8 +41,8 @@ def letters_and_marks(word: str) -> tuple[str, str] | None:
     return (stem, word[len(stem) :]) if stem.isalpha() and (stem.isascii() or max(stem) < "\u0500") else None
 
 
-#: In place of the ids of a part that isn't a plain word.
-ODD = b""
+#: In place of the ids of a part that isn't a plain word; it can't be joined.
+ODD = 0
 
 
 class Encoder:
@@ -61,9 +61,9 @@ class Encoder:
         self.splits = spec["normalizer"] is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and spec["model"] == "BPE" and all("<|" in t["content"] for t in spec["added_tokens"])
         self.model, self.letters, self.marks = self.tokenizer.model, byte_letters(), {}
         self.most = most
-        self.words: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes | int] = {}
+        self.heads: dict[str, bytes | int] = {}
+        self.old: dict[str, bytes | int] = {}
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -118,17 +118,25 @@ class Encoder:
         get, heads = self.words.get, self.heads
         split = [t.replace("\n", " \n").split(" ") if t and self.splits and "<|" not in t else [] for t in texts]
         self._learn(heads, {s[0] for s in split if s} - heads.keys(), "", {})
-        found = [[heads[s[0]], *map(get, s[1:])] if s else [] for s in split]
-        fresh: set[str] = set()
-        for s, f in zip(split, found, strict=True):
-            if None in f:
-                fresh.update([s[i] for i, x in enumerate(f) if x is None])
+        found, gaps, fresh = [], [], set()
+        for s in split:
+            f = list(map(get, s))
+            if s:
+                f[0] = heads[s[0]]
+            missing = [i for i, x in enumerate(f) if x is None]
+            fresh.update([s[i] for i in missing])
+            found.append(f)
+            gaps.append(missing)
         self._learn(self.words, fresh, " ", self.old)
         out = []
-        for t, s, f in zip(texts, split, found, strict=True):
-            if None in f:
-                f = [get(p) if x is None else x for x, p in zip(f, s, strict=True)]
-            out.append(b"" if not t else next(self._ids([t])) if not s or ODD in f else b"".join(f))
+        for t, s, f, missing in zip(texts, split, found, gaps, strict=True):
+            for i in missing:
+                f[i] = get(s[i])
+            try:
+                ids = b"".join(f)
+            except TypeError:  # a part that isn't a plain word
+                s, ids = [], b""
+            out.append(ids if s or not t else next(self._ids([t])))
         return out
 
 

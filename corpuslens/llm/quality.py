@@ -9,12 +9,15 @@ that the median distance is that of the chi-squared law. A document is
 rejected if its squared Mahalanobis distance exceeds `cutoff`.
 
 A floor on each variance (`floor` squared, in log units) keeps statistics that
-are constant in most documents from rejecting all others. Groups of fewer than
-`min_group` documents have no estimate of their own and reject by base rules only.
+are constant in most documents from rejecting all others. Documents of groups with
+fewer than `min_group` documents that pass the base rules are judged by the
+estimate of their language (over all its sources), and where that has too few
+as well, by that of all documents, however few they are.
 
 Defined results: null text has no words (and fails the base rule of 20 words);
 null language and source form groups of their own; repeated rows are judged
-each; an empty table gives an empty table; further columns are kept.
+each; an empty table gives an empty table; further columns are kept; the
+distance is null only where no document at all passes the base rules.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from . import common as C
 CHI2_MEDIAN_5 = 4.3515
 DIMS = ("z1", "z2", "z3", "z4", "z5")
 SPAN = 8
+#: The key of the estimate of all documents; those of languages and groups begin otherwise.
+ALL = "*"
 
 
 def repeat_words(words: Column, k: int = SPAN) -> Column:
@@ -96,12 +101,28 @@ def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum(parts[1:], parts[0])).select(*rows.columns, "d2")
 
 
-def mcd(rows: DataFrame, keep_share: float, steps: int, floor: float, min_group: int) -> DataFrame:
+def levels(rows: DataFrame, min_group: int) -> DataFrame:
+    """g0, g1, g: for each group of rows (g0, g1, base_failed), its language and the key it is judged by: g0, g1 or ALL."""
+    n = rows.groupBy("g0", "g1").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n0"))
+    n = C.written(n, "group-sizes")
+    languages = n.groupBy("g1").agg(F.sum("n0").alias("n1"))
+    key = F.when(F.col("n0") >= min_group, F.col("g0")).when(F.col("n1") >= min_group, F.col("g1")).otherwise(F.lit(ALL))
+    return C.written(n.join(languages, "g1").select("g0", "g1", key.alias("g")), "levels")
+
+
+def pools(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """g, z1..: the rows that each key in use is estimated from; those of a language or of all documents hold its large groups too."""
+    used = C.written(level.select("g").distinct(), "keys")
+    members = level.select("g0", F.explode(F.array("g0", "g1", F.lit(ALL))).alias("g")).join(used, "g", "left_semi")
+    return rows.select("g0", *DIMS).join(C.checked_broadcast(C.written(members, "pools"), 200), "g0").select("g", *DIMS)
+
+
+def mcd(rows: DataFrame, keep_share: float, steps: int, floor: float) -> DataFrame:
     """A row for each group g of rows (g, z1..): location m*, lower factor l** of the scatter, scale."""
-    medians = C.written(rows.groupBy("g").agg(*[F.percentile_approx(z, 0.5).alias(f"m{i}") for i, z in enumerate(DIMS)], F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group), "medians")
+    medians = C.written(rows.groupBy("g").agg(*[F.percentile_approx(z, 0.5).alias(f"m{i}") for i, z in enumerate(DIMS)]), "medians")
     off = rows.join(C.checked_broadcast(medians, 200), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, z in enumerate(DIMS)])
     zero = {f"l{i}{j}": F.lit(0.0) for i in range(len(DIMS)) for j in range(i)}
-    estimate = medians.drop("n").join(off, "g").select("g", *[f"m{i}" for i in range(len(DIMS))], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + floor**2).alias(f"l{i}{i}") for i in range(len(DIMS))], *[v.alias(k) for k, v in zero.items()])
+    estimate = medians.join(off, "g").select("g", *[f"m{i}" for i in range(len(DIMS))], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + floor**2).alias(f"l{i}{i}") for i in range(len(DIMS))], *[v.alias(k) for k, v in zero.items()])
     estimate = C.written(estimate, "mcd-start")
     for _ in range(steps):
         near = with_distance(rows, estimate)
@@ -118,13 +139,16 @@ def mcd(rows: DataFrame, keep_share: float, steps: int, floor: float, min_group:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_share: float = 0.75, steps: int = 3, floor: float = 0.3, cutoff: float = 60.0, min_group: int = 50) -> DataFrame:
-    """docs' columns with the statistics, base_failed, distance (null without estimate) and kept; texts are not carried."""
+    """docs' columns with the statistics, base_failed, distance (null if no document passes the base rules) and kept; texts are not carried."""
     others = [c for c in docs.columns if c != text_col]
-    g = F.concat_ws("\x1f", F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")))
-    rows = with_statistics(docs.withColumn("_tk", C.text_key(F.col(text_col))), text_col).select(*others, "_tk", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", g.alias("g"), *vector())
+    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
+    g0, g1 = F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang)
+    rows = with_statistics(docs.withColumn("_tk", C.text_key(F.col(text_col))), text_col).select(*others, "_tk", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", g0.alias("g0"), g1.alias("g1"), *vector())
     rows = C.written(rows, "statistics")
-    estimate = mcd(rows.filter(~F.col("base_failed")).select("g", *DIMS), keep_share, steps, floor, min_group)
-    judged = rows.join(C.checked_broadcast(estimate, 400), "g", "left")
+    level = levels(rows, min_group)
+    estimate = mcd(pools(rows.filter(~F.col("base_failed")), level), keep_share, steps, floor)
+    by_group = C.written(level.drop("g1").join(estimate, "g").drop("g"), "estimates")
+    judged = rows.join(C.checked_broadcast(by_group, 400), "g0", "left")
     parts = []
     for i, z in enumerate(DIMS):
         y = F.col(z) - F.col(f"m{i}")

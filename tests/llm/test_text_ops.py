@@ -132,6 +132,20 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == {r["doc_id"] for r in out if r["kept"]}
 
 
+def test_quality_judges_documents_of_small_groups(spark):
+    clean = lambda i: " ".join(f"word{(i * 7 + j * j) % 997}x" for j in range(40 + 3 * i % 60))
+    junk = "sym$$$ bols&&& " * 10 + " ".join(f"a{j}***" for j in range(60))
+    # en: three sources too small alone; de: too small as a language
+    rows = [(i, clean(i), "en", f"s{i % 3}") for i in range(90)] + [(100 + i, clean(i), "de", "s0") for i in range(8)] + [(200, junk, "en", "s1"), (201, junk, "de", "s0"), (202, junk, None, None), (203, "few words", "fr", "s9")]
+    out = {r["doc_id"]: r for r in q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None for r in out.values())
+    assert not any(out[i]["kept"] for i in (200, 201, 202, 203))
+    assert sum(r["kept"] for i, r in out.items() if i < 200) >= 96
+    # no table is too small
+    alone = spark.createDataFrame(rows[:3], "doc_id long, text string, lang string, source string")
+    assert [r["kept"] and r["distance"] is not None for r in q.quality_rules(alone).collect()] == [True] * 3
+
+
 def test_quality_odd_tables(spark):
     assert q.quality_rules(frame(spark, [])).count() == 0
     rows = spark.createDataFrame([(1, None, None, None, 7)] * 2, "doc_id long, text string, lang string, source string, kept int")

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpuslens.llm import common as C
 from corpuslens.llm import hashing, ngram_join, repeats, suffix_dedup
 from corpuslens.llm.components import components
 from corpuslens.llm.substring_dedup import substring_dedup
@@ -158,6 +160,19 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r["doc_id"] for r in ngram_join.keep_first(rows).collect())) == [4, 4, 9]
 
 
+def test_near_duplicates_tell_texts_apart_that_share_an_id(spark):
+    a, b, c, d = prose(60, 900), prose(60, 901), prose(60, 902), prose(60, 903)
+    near = lambda t: t + " one more"
+    rows = spark.createDataFrame([(None, a), (None, b), (5, near(a)), (None, c), (None, near(c)), (None, d), (None, d), (7, b + " " + a), (7, near(near(c)))], "doc_id long, text string")
+    none = 2**63 - 1
+    got = ngram_join.near_duplicates(rows).join(rows.withColumn("tk", C.text_key(F.col("text"))).select("tk", "text").distinct(), "tk").collect()
+    assert sorted((r["text"], r["ord"], r["component"]) for r in got) == sorted([(a, none, 5), (b, none, none), (near(a), 5, 5), (c, none, 7), (near(c), none, 7), (d, none, none), (d, none, none), (b + " " + a, 7, 7), (near(near(c)), 7, 7)])
+    kept = sorted((r["text"], r["doc_id"]) for r in ngram_join.keep_first(rows).collect())
+    assert kept == sorted([(b, None), (near(a), 5), (d, None), (b + " " + a, 7), (near(near(c)), 7)], key=lambda x: x[0])
+    apart = rows.filter("doc_id is null")
+    assert {r["text"] for r in ngram_join.keep_first(apart).collect()} in [{a, b, d, c}, {a, b, d, near(c)}]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")

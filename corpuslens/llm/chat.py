@@ -7,11 +7,17 @@ the template rewrites history and the fragment says so. A second rendering
 with a sentinel in place of the text shows where the text lies in the span;
 assistant texts become the loss mask.
 
-A conversation is rendered in parts of `part_turns` turns, each after the last
-`context` turns before it, so work and memory stay linear and bounded however
-long a conversation is. A template whose output for a turn depends on more
-than that is found by comparing the first seam with the rendering of the whole
-prefix, and marked as rewriting history.
+A conversation is rendered in parts of `part_turns` turns, each after all turns
+before it, so every prefix is rendered: a task holds one conversation, and the
+characters rendered grow with the square of its turns. Once a part rewrites
+history, it and all later parts of the conversation are marked.
+
+A template may declare that its output for a turn depends on no more than the
+last `context` turns before it, by an attribute `memoryless` that is true. Parts
+are then rendered after those turns only, so work and memory stay linear and
+bounded however long a conversation is. In either case the first seam is
+rendered both ways, and the part after it is marked where they differ: such a
+template must not be declared memoryless.
 
 Defined results: null roles and texts are empty; a null conversation id is one
 conversation; rows of a conversation are ordered by turn (nulls first), then
@@ -52,6 +58,9 @@ def plain_template(turns: list[Turn]) -> str:
     return "".join(f"### {escape(role, ':')}: {escape(text)}</turn>\n" for role, text in turns)
 
 
+plain_template.memoryless = True
+
+
 def parse_plain(text: str) -> Iterator[Turn]:
     """The turns of plain_template's output."""
     at = 0
@@ -93,19 +102,29 @@ FRAGMENTS_DDL = "conv_id long, part long, text string, n_turns long, turn_starts
 
 
 def format_chats(rows: DataFrame, template: Callable[[list[Turn]], str] = plain_template, part_turns: int = 32, context: int = 2, loss_role: str = "assistant") -> DataFrame:
-    """Fragments of formatted conversations; a conversation's text is its fragments' texts in the order of part."""
+    """Fragments of formatted conversations; a conversation's text is its fragments' texts in the order of part, unless one rewrites."""
+    windowed = getattr(template, "memoryless", False)
+
+    def recent(turns: list[Turn]) -> list[Turn]:
+        return turns[-context:] if context else []
+
+    def differs(earlier: list[Turn], turns: list[Turn], text: str) -> bool:
+        """Whether the turns' text (after the last or all earlier turns) is another when rendered the other way."""
+        before = earlier if windowed else recent(earlier)
+        return template(before + turns)[len(template(before)) if before else 0 :] != text
 
     def run(batches):
-        conv, part, context_turns, turns, first = object(), 0, [], [], []
+        conv, part, earlier, turns, rewritten = object(), 0, [], [], False
 
         def close():
-            nonlocal part, context_turns, turns, first
-            got = render_part(template, context_turns, turns, loss_role)
-            if part == 1 and template(first + turns)[len(template(first)) :] != got["text"]:
-                got["rewrites"] = True
-            row = {"conv_id": conv, "part": part, "text": got["text"], "n_turns": len(turns), "turn_starts": [a for a, _ in got["spans"]], "turn_ends": [b for _, b in got["spans"]], "loss_starts": [a for a, _ in got["loss"]], "loss_ends": [b for _, b in got["loss"]], "rewrites": got["rewrites"]}
-            first = turns if part == 0 else []
-            context_turns, turns, part = (context_turns + turns)[-context:] if context else [], [], part + 1
+            nonlocal part, earlier, turns, rewritten
+            got = render_part(template, recent(earlier) if windowed else earlier, turns, loss_role)
+            rewritten = rewritten or got["rewrites"]
+            seam = part == 1 and differs(earlier, turns, got["text"])
+            row = {"conv_id": conv, "part": part, "text": got["text"], "n_turns": len(turns), "turn_starts": [a for a, _ in got["spans"]], "turn_ends": [b for _, b in got["spans"]], "loss_starts": [a for a, _ in got["loss"]], "loss_ends": [b for _, b in got["loss"]], "rewrites": rewritten or seam}
+            # a declared template's second part still needs the first one whole
+            earlier = recent(earlier + turns) if windowed and part else earlier + turns
+            turns, part = [], part + 1
             return row
 
         for batch in batches:
@@ -114,7 +133,7 @@ def format_chats(rows: DataFrame, template: Callable[[list[Turn]], str] = plain_
                 if c != conv:
                     if turns:
                         out.append(close())
-                    conv, part, context_turns, turns, first = c, 0, [], [], []
+                    conv, part, earlier, turns, rewritten = c, 0, [], [], False
                 elif len(turns) == part_turns:
                     out.append(close())
                 turns.append((role, text))

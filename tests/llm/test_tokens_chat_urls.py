@@ -133,6 +133,22 @@ def test_position_dependent_templates_are_found_at_the_first_seam(spark):
     assert chat.format_chats(rows, numbered, part_turns=4).filter("rewrites").count() == 1
 
 
+def test_templates_see_the_whole_prefix(spark):
+    rows = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f"x{i}") for i in range(150)], "conv_id long, turn long, role string, text string")
+    parts = lambda template, **more: chat.format_chats(rows, template, **more).orderBy("part").collect()
+    turns = [(r["role"], r["text"]) for r in rows.orderBy("turn").collect()]
+    last_100 = lambda turns: "".join(f"[{r}:{t}]" for r, t in turns[-100:])
+    assert [r["rewrites"] for r in parts(last_100)] == [False, False, False, True, True]
+    trims_once = lambda turns: "".join(f"[{r}:{t}]" for r, t in turns[5 if len(turns) > 70 else 0 :])
+    assert [r["rewrites"] for r in parts(trims_once)] == [False, False, True, True, True]
+    numbered = lambda turns: "".join(f"{i} {t};" for i, (_, t) in enumerate(turns))
+    got = parts(numbered)
+    assert "".join(r["text"] for r in got) == numbered(turns)
+    assert [r["text"][a:b] for r in got for a, b in zip(r["loss_starts"], r["loss_ends"], strict=True)] == [t for role, t in turns if role == "assistant"]
+    numbered.memoryless = True  # a false declaration shows at the first seam
+    assert [r["rewrites"] for r in parts(numbered)][1]
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://NET/x", "http://a.net", "http://a.net/", "https://m.Example.NET/en/1?q=/de/", "https://example.net/fr/1", "http://example.com/de/5#x", "http://x.example.com/de", "https://k.org/fr/a?b",
     "ftp://fr.org?x=1", "http://notnet/en/", "http://a://b/c", "http://examplexnet/en/", "http://a.net?x/en/",

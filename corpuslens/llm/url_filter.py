@@ -43,12 +43,13 @@ def suffixes(host: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens: h:<suffix> of the host, p:<segment>, q:<key>; purely numeric parts of a segment are one token."""
+    """Distinct tokens: h:<suffix> of the host, l:<label> of it, p:<segment>, q:<key>; purely numeric parts of a segment are one token."""
     host = F.filter(suffixes(host_of(url)), lambda x: x != "")
+    labels = F.filter(F.split(host_of(url), "\\."), lambda x: x != "")
     segments = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
-    found = F.concat(F.transform(host, lambda x: F.concat(F.lit("h:"), x)), F.transform(segments, lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "[0-9]+", "0"))), F.transform(keys, lambda x: F.concat(F.lit("q:"), x)))
+    found = F.concat(F.transform(host, lambda x: F.concat(F.lit("h:"), x)), F.transform(labels, lambda x: F.concat(F.lit("l:"), x)), F.transform(segments, lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "[0-9]+", "0"))), F.transform(keys, lambda x: F.concat(F.lit("q:"), x)))
     return F.array_distinct(found)
 
 

@@ -188,3 +188,14 @@ def test_mined_rules_block_the_combination(spark):
     got = url_filter.filter_urls(pages, labels, [], min_support=0.01, min_count=5, min_confidence=0.8)
     assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == {i for i, u in rows if bad(u)}
     assert url_filter.filter_urls(pages.limit(0), labels, []).count() == 0
+
+
+def test_a_bad_label_of_many_rare_domains_is_mined(spark):
+    # each domain has two pages; only the label recurs
+    rows = [(i, f"http://{'ads' if i % 4 == 0 else 'www'}.d{i // 8}x{i % 4}.t{i % 7}/{i}") for i in range(800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("/ads." in u)) for i, u in rows if i < 400], "doc_id long, toxic int")
+    mined = url_filter.mine_rules(pages, labels)
+    assert ["l:ads"] in [r["antecedent"] for r in mined.collect()]
+    got = url_filter.filter_urls(pages, labels, [])
+    assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == {i for i, u in rows if "/ads." in u}

@@ -52,13 +52,59 @@ def nearest_centroid(vectors: DataFrame, centroids: list[tuple[int, list[float]]
     return vectors.select("id", F.array_min(ranked)["cluster"].alias("cluster"))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, cosine, rank: each query's k nearest other vectors; queries are the small, stated side."""
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query_id, id, cosine, rank: each query's k nearest other vectors, exact.
+
+    Every block of queries meets every block of vectors in a task of its own
+    (about `block` rows each), which passes on its k best by query. All vectors
+    have one length; zero vectors have no cosine and match nothing.
+    """
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    left = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
-    right = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"))
-    scored = right.join(F.broadcast(left), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("q"), F.col("vector")) / (F.col("qn") * F.col("vn")), 6).alias("cosine"))
+    m, n = (max(1, -(-rows.count() // block)) for rows in (queries, vectors))
+    one = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.select(one(m).alias("i"), each(n).alias("j"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), "vector")
+    right = vectors.select(each(m).alias("i"), one(n).alias("j"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), "vector")
+
+    def best(rows):
+        ids, table = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+        size = np.sqrt((table * table).sum(axis=1))
+        asks = np.array([r[0] for r in rows])
+        ask, have = np.flatnonzero(asks & (size > 0)), np.flatnonzero(~asks & (size > 0))
+        if not len(ask) or not len(have):
+            return
+        for x in range(0, len(ask), 512):
+            some = ask[x : x + 512]
+            cosine = np.round(table[some] @ table[have].T / np.outer(size[some], size[have]), 6)
+            for q, c in zip(ids[some].tolist(), cosine, strict=True):
+                other = np.flatnonzero(ids[have] != q)
+                if len(other) > k:
+                    least = np.partition(c[other], len(other) - k)[len(other) - k]
+                    other = other[c[other] >= least]
+                order = other[np.lexsort((ids[have][other], -c[other]))][:k]
+                yield from zip([q] * len(order), ids[have][order].tolist(), c[order].tolist(), strict=True)
+
+    def run(batches):
+        def out(rows):
+            q, i, c = zip(*found, strict=True) if (found := list(best(rows))) else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "cosine"])
+
+        task, rows = None, []
+        for batch in batches:
+            values = batch.column("vector")
+            for at, (i, j, asks, id_) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("i", "j", "asks", "id")], strict=True)):
+                if (i, j) != task:
+                    if rows:
+                        yield out(rows)
+                    task, rows = (i, j), []
+                rows.append((asks, id_, values[at].values.to_numpy(zero_copy_only=False)))
+        if rows:
+            yield out(rows)
+
+    scored = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "query_id long, id long, cosine double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= k)
 
 

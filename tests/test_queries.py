@@ -34,3 +34,19 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def test_cosine_search_covers_all_due_rows(spark):
+    import numpy as np
+
+    from corpuslens.operators import vectors
+    from corpuslens.plans import standins
+
+    due = {r[0] for r in standins.vectors(spark, SF).filter("id % 50 = 0").select("id").collect()}
+    assert len(due) > 1 and {r[0] for r in catalog.QUERIES["cosine_topk_due"](spark, SF).select("query_id").distinct().collect()} == due
+    data = np.random.default_rng(1).normal(size=(200, 8)).round(1)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "id long, vector array<double>")
+    got = sorted(map(tuple, vectors.cosine_topk(table.filter("id % 5 = 0"), table, 3, block=16).select("query_id", "rank", "id").collect()))
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    near = {q: sorted((i for i in range(200) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:3] for q in range(0, 200, 5)}
+    assert got == [(q, r + 1, i) for q in near for r, i in enumerate(near[q])]

@@ -316,8 +316,8 @@ def kmeans_assign(spark, d):
 @query()
 def elbow_curve(spark, d):
     rows = S.vectors(spark, d)
-    _, curve = vectors.elbow_search(rows, rows.count(), points=8)
-    return spark.createDataFrame([(k, float(c)) for k, c in curve], "k int, inertia double")
+    best, curve = vectors.elbow_search(rows, rows.count())
+    return spark.createDataFrame([(k, float(c), best) for k, c in curve], "k int, inertia double, knee int")
 
 
 # --- text ------------------------------------------------------------------

@@ -50,3 +50,18 @@ def test_cosine_search_covers_all_due_rows(spark):
     unit = data / np.linalg.norm(data, axis=1)[:, None]
     near = {q: sorted((i for i in range(200) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:3] for q in range(0, 200, 5)}
     assert got == [(q, r + 1, i) for q in near for r, i in enumerate(near[q])]
+
+
+def test_elbow_curve_takes_the_whole_grid_and_returns_the_knee(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpuslens.operators import vectors
+    from corpuslens.plans import standins
+
+    # a straight line has no knee, so the search never stops early
+    monkeypatch.setattr(vectors, "kmeans_fit", lambda rows, k, seed: SimpleNamespace(summary=SimpleNamespace(trainingCost=-float(k))))
+    got = catalog.QUERIES["elbow_curve"](spark, SF).orderBy("k").collect()
+    assert [r["k"] for r in got] == vectors.k_grid(standins.vectors(spark, SF).count()) and {r["knee"] for r in got} == {None}
+    monkeypatch.setattr(vectors, "kmeans_fit", lambda rows, k, seed: SimpleNamespace(summary=SimpleNamespace(trainingCost=100.0 / k)))
+    got = catalog.QUERIES["elbow_curve"](spark, SF).orderBy("k").collect()
+    assert {r["knee"] for r in got} == {int(vectors.knee([float(r["k"]) for r in got], [r["inertia"] for r in got]))}

@@ -595,6 +595,14 @@ def softmax_argmax(spark, d):
     return rows.select("id", F.round(F.get("p", F.lit(0)), 6).alias("p0"), text.argmax(F.col("p")).alias("class"))
 
 
+@query(""", e AS (SELECT id, vector, list_transform(vector, lambda v: exp(v::DOUBLE - list_max(vector)::DOUBLE)) AS x FROM vectors)
+SELECT id, round(x[1] / list_sum(x), 6) AS p0, (list_position(vector, list_max(vector)) - 1)::INTEGER AS class FROM e""")
+def softmax_argmax_whole(spark, d):
+    """Over all entries of each vector."""
+    rows = S.vectors(spark, d).select("id", text.softmax(F.col("vector").cast("array<double>")).alias("p"))
+    return rows.select("id", F.round(F.get("p", F.lit(0)), 6).alias("p0"), text.argmax(F.col("p")).alias("class"))
+
+
 @query(""", u AS (SELECT id, repository_id, unnest(vector)::DOUBLE AS x, generate_subscripts(vector, 1) - 1 AS feature FROM vectors),
 a AS (SELECT u.repository_id, u.feature, (x - avg(x) OVER (PARTITION BY u.feature)) / (u.feature + 1) AS v FROM u)
 SELECT feature::INTEGER AS feature, round(avg(v), 6) AS mean, round(avg(abs(v)), 6) AS mean_abs FROM a WHERE repository_id = 3 GROUP BY feature ORDER BY abs(avg(v)) DESC, feature LIMIT 10""")

@@ -65,3 +65,10 @@ def test_elbow_curve_takes_the_whole_grid_and_returns_the_knee(spark, monkeypatc
     monkeypatch.setattr(vectors, "kmeans_fit", lambda rows, k, seed: SimpleNamespace(summary=SimpleNamespace(trainingCost=100.0 / k)))
     got = catalog.QUERIES["elbow_curve"](spark, SF).orderBy("k").collect()
     assert {r["knee"] for r in got} == {int(vectors.knee([float(r["k"]) for r in got], [r["inertia"] for r in got]))}
+
+
+def test_softmax_takes_the_whole_vector(spark):
+    from corpuslens.plans import standins
+
+    want = {r["id"]: r["vector"].index(max(r["vector"])) for r in standins.vectors(spark, SF).select("id", "vector").collect()}
+    assert {r["id"]: r["class"] for r in catalog.QUERIES["softmax_argmax_whole"](spark, SF).collect()} == want and max(want.values()) > 2

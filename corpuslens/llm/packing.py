@@ -8,9 +8,12 @@ group, remainders in decreasing length go into the first bin with room; a
 tournament tree over the bins' free room finds it in O(log n). Only piece
 metadata is shuffled, never ids.
 
-Defined results: null and empty texts hold only the end id; rows that share an
-id are packed each; ties in length go by id, then text hash; an empty table
-gives no piece. A sequence is padded to `length`, except at a power of two.
+Defined results: null and empty texts hold only the end id; repeated rows, rows
+that share an id and rows without an id are packed each; ties in length go by
+id, then text hash; a very long text is many pieces, of which at most one
+shares a sequence; an empty table gives no piece; further columns are left out,
+whatever they are called. A sequence is padded to `length`, except at a power
+of two.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import Encoder, texts_of
+from .tokens import encoded
 
 PIECES = "doc_id long, tk long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -65,18 +68,19 @@ def pieces_of(docs: DataFrame, length: int, end_id: int, tokenizer: str | None,
     schema = pa.schema(fields)
 
     def cut(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            names, keys = batch.column("id").to_pylist(), batch.column("tk").to_pylist()
-            for first, texts in texts_of(batch):
-                out: dict[str, list] = {n: [] for n, _ in fields}
-                for name, tk, found in zip(names[first : first + len(texts)], keys[first : first + len(texts)], encoder.encode(texts), strict=True):
-                    raw = found + end
-                    for at in range(0, len(raw), 4 * length):
-                        piece = raw[at : at + 4 * length]
-                        for n, v in zip(out, (name, tk, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4, piece), strict=False):
-                            out[n].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema)
+            for first, ids, begins in encoded(batch.column("text"), end_id, tokenizer):
+                sizes = np.diff(begins)
+                pieces = -(-sizes // length)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                start = length * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                size = np.minimum(length, sizes[row] - start)
+                at = begins[row] + start
+                raw = memoryview(ids).cast("B")
+                cuts = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)]
+                data = [batch.column(c).take(pa.array(first + row)) for c in ("id", "tk")]
+                data += [pa.array(x, pa.int64()) for x in (start, size, [zlib.crc32(x) for x in cuts], sizes[row])]
+                yield pa.RecordBatch.from_arrays(data + [pa.array(cuts, pa.binary())] * with_ids, schema=schema)
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), C.text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
     return keyed.mapInArrow(cut, PIECES + ", ids binary" * with_ids)

@@ -12,9 +12,14 @@ the packed residuals (64 values fill `width` 64-bit words), then exception
 positions u16 and residuals u32. The width is that of the `percentile`
 residual; larger residuals are exceptions and packed as 0.
 
-Segments hold whole documents in ascending id (null ids last, ties by text
-hash); shards are ranges of ids. Null and empty texts hold only the end id.
-Repeated rows are stored each. An empty table gives no segment.
+Segments hold whole documents in ascending id; shards are ranges of ids, and
+their starts are running sums over the shards' totals, taken in Spark.
+
+Defined results: null and empty texts hold only the end id; null ids come last;
+repeated rows, and rows that share an id, are stored each, in the order of
+their texts' hashes; an empty table gives no segment; further columns are not
+stored, whatever they are called. A very long text is one segment; its ids must
+fit a cell (2 GB: 500 million ids read back, about 1 billion stored).
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.metrics import running
+
 from . import common as C
-from .tokens import Encoder, texts_of
+from .tokens import encoded
 
 MAGIC, BLOCK = b"PFR1", 4096
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<long>, counts array<long>, total long, payload binary"
@@ -124,27 +131,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("total", pa.int64()), ("payload", pa.binary())])
 
     def encode(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        shard, segment, ids, counts, held, size = None, 0, [], [], [], 0
+        shard, segment, names, counts, held, size = None, 0, [], [], [], 0
 
         def close():
-            values = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "doc_ids": ids, "counts": counts, "total": len(values), "payload": encode_blocks(values)}], schema)
+            row = {"shard": shard, "segment": segment, "doc_ids": pa.concat_arrays(names).to_pylist(), "counts": np.concatenate(counts).tolist(), "total": size, "payload": encode_blocks(np.concatenate(held))}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, shard = batch.column("id").to_pylist(), batch.column("shard")[0].as_py()
-            for first, texts in texts_of(batch):
-                for name, found in zip(names[first : first + len(texts)], encoder.encode(texts), strict=True):
-                    ids.append(name)
-                    held.append(found + end)
-                    counts.append(len(found) // 4 + 1)
-                    size += counts[-1]
+            shard = batch.column("shard")[0].as_py()
+            for first, ids, begins in encoded(batch.column("text"), end_id, tokenizer):
+                a, n = 0, len(begins) - 1
+                while a < n:  # documents up to the one that fills the segment
+                    b = min(n, int(np.searchsorted(begins, begins[a] + segment_ids - size)))
+                    names.append(batch.column("id").slice(first + a, b - a))
+                    counts.append(np.diff(begins[a : b + 1]))
+                    held.append(ids[begins[a] : begins[b]])
+                    size += len(held[-1])
+                    a = b
                     if size >= segment_ids:
                         yield close()
-                        segment, ids, counts, held, size = segment + 1, [], [], [], 0
-        if ids:
+                        segment, names, counts, held, size = segment + 1, [], [], [], 0
+        if names:
             yield close()
 
     ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
@@ -157,8 +166,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    heads = sorted(segments.groupBy("shard").agg(F.sum("total")).collect())  # a row for each shard
-    sizes = spark.createDataFrame(_running(heads), "shard int, base long")
+    heads = segments.groupBy("shard").agg(F.sum("total").alias("total"))
+    sizes = running(heads, "shard", ["total"]).select("shard", F.col("total_before").alias("base"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = segments.select("shard", "segment", "total").withColumn("within", before).join(sizes, "shard").select("shard", "segment", (F.col("within") + F.col("base")).alias("begin"))
     rows = segments.join(F.broadcast(starts) if starts.count() <= C.BROADCAST_BYTES // 64 else starts, ["shard", "segment"]).select("begin", "doc_ids", "counts", "payload")
@@ -178,14 +187,6 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def _running(heads: list) -> list[tuple[int, int]]:
-    out, base = [], 0
-    for shard, n in heads:
-        out.append((shard, base))
-        base += n
-    return out
-
-
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.scratch(spark, "token-ids")
     write_ids(C.table(spark, sf_dir, "documents"), path)

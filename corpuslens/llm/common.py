@@ -15,6 +15,16 @@ LOWER = UPPER.lower()
 MAX_LONG = 2**63 - 1
 #: A side of a join is broadcast only when it was written, counted and found smaller than this.
 BROADCAST_BYTES = 32 << 20
+#: Text that goes to a Python worker at once; Spark's own bound (64 MB) costs several times that in buffers.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most ARROW_BYTES, unless it sets a smaller bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "0").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) < ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             base = f"file://{tempfile.mkdtemp(prefix='corpuslens-')}"
             spark.sparkContext.setCheckpointDir(base)
@@ -62,6 +74,17 @@ def checked_broadcast(df: DataFrame, row_bytes: int, items: str | None = None, l
     return F.broadcast(df) if df.agg(size).first()[0] <= limit else df
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """df's columns but for those that clash with the names taken (names do not tell cases apart)."""
+    gone = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, in one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

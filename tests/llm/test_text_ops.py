@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpuslens.llm import decontaminate as dec
@@ -154,3 +156,95 @@ def test_quality_odd_tables(spark):
 
 def test_sha_of_empty_is_defined():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def brute_quality(rows, keep_share=0.75, steps=8, floor=0.3, cutoff=60.0, min_group=50):
+    """kept and distance by id, with numpy; rows: (id, text, lang, source)."""
+    z, failed, keys = {}, {}, {}
+    for i, t, lang, source in rows:
+        words, chars, symbols, dup, rep, failed[i] = brute_statistics(t)
+        w, c = max(words, 1), max(chars, 1)
+        z[i] = np.array([math.log1p(words), math.log(c / w), math.log1p(100 * symbols / c), math.log1p(100 * dup / w), math.log1p(100 * rep / w)])
+        keys[i] = ((2, lang, source), (1, lang), "*")
+    low = lambda v, p: sorted(v)[max(0, math.ceil(p * len(v)) - 1)]
+    members = {}
+    for i in z:
+        for k in keys[i]:
+            if not failed[i]:
+                members.setdefault(k, []).append(z[i])
+    ridge = floor**2 * np.eye(5)
+
+    def distance(x, m, cov):
+        y = np.linalg.solve(np.linalg.cholesky(cov), (x - m).T)
+        return (y * y).sum(axis=0)
+
+    def step(x, m, cov):
+        d = distance(x, m, cov)
+        near = x[d <= low(d, keep_share)]
+        return near.mean(axis=0), np.cov(near.T, bias=True).reshape(5, 5) + ridge
+
+    def estimate(x):
+        m = np.array([low(x[:, j], 0.5) for j in range(5)])
+        a = np.sqrt([(1.4826 * low(abs(x[:, j] - m[j]), 0.5)) ** 2 + floor**2 for j in range(5)])
+        u = (x - m) / a
+        tries = [np.diag(a * a)]
+        for v in (np.tanh(u), u / np.maximum(1e-9, np.sqrt((u * u).sum(axis=1)))[:, None]):
+            p = v.T @ v / len(v)
+            both = np.sqrt(np.outer(np.diag(p), np.diag(p)))
+            r = np.divide(0.9 * p, both, out=np.zeros((5, 5)), where=both > 0)
+            np.fill_diagonal(r, 1)
+            tries.append(r * np.outer(a, a))
+        found = []
+        for cov in tries:
+            now = (m, cov)
+            for _ in range(2):
+                now = step(x, *now)
+            found.append(now)
+        now = min(found, key=lambda e: np.linalg.slogdet(e[1])[1])
+        for _ in range(steps - 2):
+            before, now = now, step(x, *now)
+            if abs(np.linalg.slogdet(before[1])[1] - np.linalg.slogdet(now[1])[1]) < 1e-6:
+                break
+        return *now, low(distance(x, *now), 0.5) / q.CHI2_MEDIAN_5
+
+    made, out = {}, {}
+    for i in z:
+        size = [len(members.get(k, [])) for k in keys[i]]
+        key = next((k for k, n in zip(keys[i][:2], size, strict=False) if n >= min_group), "*")
+        if key not in made:
+            made[key] = estimate(np.array(members[key]))
+        m, cov, scale = made[key]
+        d = float(distance(z[i][None, :], m, cov)[0]) / max(1.0, scale)
+        out[i] = (not failed[i] and d <= cutoff, d)
+    return out
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    r = random.Random(4)
+    words = [f"w{i}" * (1 + i % 3) for i in range(300)]
+
+    def text(i):
+        lines = [" ".join(r.choice(words) for _ in range(r.randint(4, 14))) + r.choice(["", "", " # $", " & | *"]) for _ in range(r.randint(2, 12))]
+        return "\n".join(lines + lines[:1] * (i % 5 == 0) + ["$$ ## ||" * 30] * (i % 29 == 0))
+
+    rows = [(i, text(i), ["en", "de", None][i % 7 % 3], ["a", "b", None][i % 3]) for i in range(420)]
+    rows += [(1000 + i, " ".join("###" for _ in range(60)), "en", "a") for i in range(4)] + [(2000, None, "fr", "c"), (2001, "x " * 9000, "en", "b"), (2002, text(1), "pt", "a")]
+    want = brute_quality(rows)
+    # columns named like the result's, or like names used inside
+    docs = spark.createDataFrame([(*x, 7, "n", 1.5, "c", 0.1, True) for x in rows], "doc_id long, text string, lang string, source string, n_words int, g string, z1 double, `Kept` string, m0 double, `a.b` boolean")
+    got = q.quality_rules(docs)
+    assert got.columns == ["doc_id", "lang", "source", "g", "z1", "m0", "a.b", *q.STATISTICS, "distance", "kept"]
+    found = {x["doc_id"]: x for x in got.collect()}
+    assert set(found) == set(want) and all(x["g"] == "n" and x["m0"] == 0.1 and x["n_words"] != 7 for x in found.values())
+    assert {i: x["kept"] for i, x in found.items()} == {i: x[0] for i, x in want.items()}
+    assert all(found[i]["distance"] == pytest.approx(want[i][1], rel=1e-6) for i in want)
+    assert 0 < sum(x[0] for x in want.values()) < len(want)
+    kept = q.keep_good(docs)
+    assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in want.items() if x[0]}
+
+
+def test_quality_without_language_and_source(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * 7 + j) % 97}x" for j in range(30 + i))) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    out = {x["doc_id"]: x["kept"] for x in q.quality_rules(docs).collect()}
+    assert not out[99] and sum(out.values()) >= 58
+    assert q.keep_good(docs).columns == ["doc_id", "text"]

@@ -1,104 +1,143 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame operations only).
 
-Documents come in batches of ascending id. For each batch, the distinct keys
-of its lines are joined with the runs written so far: keys that no run holds
-make the batch's own sorted run (an anti-join), the others learn which
-document holds them first. After `fanout` runs on a level, they are compacted
-into one sorted run on the next level. A line goes if an earlier document
-holds its key.
+Documents come in batches of ascending id, of about equal size by quantiles.
+Their lines' hashes are written once, by batch. For each batch, the distinct
+keys of its lines are merge-joined with the runs written so far: keys that no
+run holds make the batch's own sorted run (an anti-join), the others learn
+which document holds them first. Runs are tables bucketed and sorted by key, so
+that a merge moves the batch's keys only and never a run. After `fanout` runs on
+a level, they are merged into one run on the next level, bucket by bucket. A
+line goes if an earlier document holds its key.
 
 Defined results: a null text counts as one empty line; a null id sorts after
 all others; rows that share an id count as one document, so they do not remove
 each other's lines; lines whose key is shorter than `min_chars` code points
-always stay; an empty table gives an empty table; further columns are kept
-(a clash with `n_lines`, `n_dropped` or `kept_text` is overwritten).
+always stay; very long texts and lines are taken whole; an empty table gives an
+empty table; further columns are kept (a clash with `n_lines`, `n_dropped` or
+`kept_text` is overwritten).
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-RUN_SCHEMA = "h1 long, h2 long, first_id long, last_id long, is_new boolean"
+#: Has a scan of a table of sorted buckets with a file each say that its rows are sorted.
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+OUTPUT = ("n_lines", "n_dropped", "kept_text")
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession):
+    before = spark.conf.get(SORTED_SCANS, "false")
+    spark.conf.set(SORTED_SCANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_SCANS, before)
 
 
 class LevelledRuns:
-    """Sorted runs of (h1, h2) -> first id, as tables in the shared folder."""
+    """Sorted runs of (h1, h2) -> first id, as bucketed tables whose files lie in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout, self.levels = spark, fanout, {0: []}
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        self.spark, self.fanout, self.levels, self.tables = spark, fanout, {0: []}, []
+        #: As many buckets as a shuffle has partitions: a batch's aggregate then lies as the runs do.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def keys(self) -> DataFrame | None:
-        paths = [p for level in self.levels.values() for p in level]
-        if not paths:
-            return None
-        runs = self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-        return runs.filter("is_new").select("h1", "h2", F.col("first_id").alias("run_first"))
+    def _store(self, rows: DataFrame) -> str:
+        name = f"corpuslens_run_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        with sorted_scans(self.spark):
+            rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", C.scratch(self.spark, "run")).saveAsTable(name)
+        return name
+
+    def _run(self, name: str, first: str) -> DataFrame:
+        return self.spark.table(name).filter("is_new").select("h1", "h2", F.col("first_id").alias(first)).hint("merge")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Joins the batch's keys (h1, h2, lo, hi) with the runs, writes its run, returns its keys with their first id."""
-        older = self.keys()
-        if older is None:
-            joined = batch.withColumn("run_first", F.lit(None).cast("long"))
-        else:
-            joined = batch.join(older.hint("merge"), ["h1", "h2"], "left")
-        run = joined.select("h1", "h2", F.coalesce("run_first", "lo").alias("first_id"), F.col("hi").alias("last_id"), F.col("run_first").isNull().alias("is_new"))
-        path = C.scratch(self.spark, "run")
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels[0].append(path)
+        """Joins the batch's keys (h1, h2, lo, hi) with the runs, writes its run, returns its keys with their first and last id."""
+        names = [n for level in self.levels.values() for n in level]
+        joined, found = batch, []
+        for i, name in enumerate(names):
+            found.append(f"run{i}")
+            joined = joined.join(self._run(name, found[-1]), ["h1", "h2"], "left")
+        first = F.coalesce(*found, F.lit(None).cast("long"))
+        name = self._store(joined.select("h1", "h2", F.coalesce(first, F.col("lo")).alias("first_id"), F.col("hi").alias("last_id"), first.isNull().alias("is_new")))
+        self.levels[0].append(name)
         self._compact()
-        return self.spark.read.schema(RUN_SCHEMA).parquet(path)
+        return self.spark.table(name)
 
     def _compact(self) -> None:
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            path = C.scratch(self.spark, f"run-level{level + 1}")
-            runs = self.spark.read.schema(RUN_SCHEMA).parquet(*self.levels[level]).filter("is_new")
-            runs.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+            merged = self._run(self.levels[level][0], "first_id")
+            for name in self.levels[level][1:]:  # no key is in two runs
+                merged = merged.join(self._run(name, "other"), ["h1", "h2"], "full").select("h1", "h2", F.coalesce("first_id", "other").alias("first_id")).hint("merge")
             self.levels[level] = []
-            self.levels.setdefault(level + 1, []).append(path)
+            self.levels.setdefault(level + 1, []).append(self._store(merged.withColumn("is_new", F.lit(True))))
             level += 1
 
+    def drop(self) -> None:
+        """Takes the tables out of the session's catalog; their files go with the scratch folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def line_key(line: Column) -> Column:
     return C.lower_ascii(F.btrim(line, F.lit(C.SPACE)))
 
 
+def identity(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(C.quoted(id_col).cast("long"), F.lit(C.MAX_LONG)), C.text_key(C.quoted(text_col))]
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """A row for each line that could go: ord, tk (document), pos, h1, h2 (key)."""
-    text = C.no_nul(F.col(text_col))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)).alias("ord"), C.text_key(F.col(text_col)).alias("tk"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    ord_, tk = identity(id_col, text_col)
+    rows = docs.select(ord_.alias("ord"), tk.alias("tk"), F.posexplode(F.split(C.no_nul(C.quoted(text_col)), "\n")).alias("pos", "line"))
     rows = rows.select("ord", "tk", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     return rows.select("ord", "tk", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def shared_lines(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
+    """h1, h2, first_id of the keys that two documents hold. lines has a column `batch`."""
+    runs, shared = LevelledRuns(lines.sparkSession, fanout), None
+    try:
+        for b in range(batches):
+            keys = lines.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+            got = runs.add(keys).filter("first_id < last_id").select("h1", "h2", "first_id")
+            shared = got if shared is None else shared.unionByName(got)
+        return C.written(shared.groupBy("h1", "h2").agg(F.min("first_id").alias("first_id")), "shared-lines")
+    finally:
+        runs.drop()
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; one row for each row of docs."""
-    spark = docs.sparkSession
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    step = (high - low) // batches + 1
-    runs, shared = LevelledRuns(spark, fanout), None
-    for b in range(batches):
-        last = b == batches - 1
-        part = lines.filter((F.col("ord") >= low + b * step) & (F.lit(True) if last else F.col("ord") < low + (b + 1) * step))
-        keys = part.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-        got = runs.add(keys).filter("first_id < last_id").select("h1", "h2", "first_id")
-        shared = got if shared is None else shared.unionByName(got)
-    shared = C.written(shared.groupBy("h1", "h2").agg(F.min("first_id").alias("first_id")), "shared-lines")
+    ord_, tk = identity(id_col, text_col)
+    shares = [i / batches for i in range(1, batches)]
+    bounds = (docs.select(ord_.alias("ord")).agg(F.percentile_approx("ord", shares)).first()[0] or []) if shares else []
+    batch = sum((F.when(F.col("ord") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    path = C.scratch(docs.sparkSession, "lines")
+    lines_of(docs, id_col, text_col, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+    lines = docs.sparkSession.read.schema("ord long, tk long, pos int, h1 long, h2 long, batch int").parquet(path)
+    shared = shared_lines(lines, batches, fanout)
     drops = lines.join(C.checked_broadcast(shared, 48), ["h1", "h2"]).filter("ord > first_id")
-    drops = C.written(drops.groupBy("ord", "tk").agg(F.collect_set("pos").alias("drop_pos")), "dropped-lines")
-    taken = {"_ord": F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)), "_tk": C.text_key(F.col(text_col))}
-    drops = C.checked_broadcast(drops.select(F.col("ord").alias("_ord"), F.col("tk").alias("_tk"), F.col("drop_pos").alias("_drop")), 48, "_drop")
-    joined = docs.withColumns(taken).join(drops, ["_ord", "_tk"], "left")
-    text = C.no_nul(F.col(text_col))
+    drops = C.written(drops.groupBy(F.col("ord").alias("_ld_ord"), F.col("tk").alias("_ld_tk")).agg(F.collect_set("pos").alias("_ld_drop")), "dropped-lines")
+    kept = [C.quoted(c) for c in C.others(docs, *OUTPUT)]
+    joined = docs.select(*kept, *[C.quoted(c).alias("_ld_text") for c in [text_col]], ord_.alias("_ld_ord"), tk.alias("_ld_tk"))
+    joined = joined.join(C.checked_broadcast(drops, 48, "_ld_drop"), ["_ld_ord", "_ld_tk"], "left")
+    text = C.no_nul(F.col("_ld_text"))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    kept = C.let(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_drop", lambda p: p + 1)), lambda i: F.get(lines, i - 1)), "\n"))
-    out = joined.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(kept)})
-    return out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).drop("_ord", "_tk", "_drop")
+    left = C.let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), F.transform("_ld_drop", lambda p: p + 1)), lambda i: F.get(x, i - 1)), "\n"))
+    n_dropped = F.greatest(F.coalesce(F.size("_ld_drop"), F.lit(0)), F.lit(0)).cast("long")
+    return joined.select(*kept, n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), F.when(F.col("_ld_drop").isNull(), text).otherwise(left).alias("kept_text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

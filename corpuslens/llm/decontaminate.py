@@ -1,14 +1,18 @@
 """Benchmark decontamination with a hash set of normalised test n-grams (DataFrame operations only).
 
 Benchmark items become windows of `window` words (an item with fewer words is
-one window of its own length). The set of window hashes is broadcast if its
-counted size is under the limit, else it is joined by a shuffle. Every word
-position of every document is probed; hits are verified word by word.
+one window of its own length). The hash set holds the first one, two or four
+words of each window (as many as fit); it is broadcast with the windows if their
+counted bytes are under the limit, else joined by a shuffle. Documents are
+scanned once: every word position is probed, whatever lengths the windows have,
+and the window's words are compared with the document's there.
 
 Defined results: null texts have no words and hit nothing; items without words
 match nothing; a null item id counts as the id "null"; items that share an id
 count once; rows that share an id and a text get the same result, each in its
-own row; empty tables give empty (or clean) results; further columns are kept.
+own row; very long texts are scanned whole; empty tables give empty (or clean)
+results; further columns are kept (a clash with `n_words`, `n_hit`, `items` or
+`contaminated` is overwritten, but for the action "drop", which adds none).
 """
 
 from __future__ import annotations
@@ -19,54 +23,95 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+OUTPUT = ("n_words", "n_hit", "items", "contaminated")
+#: How many of a window's first words are hashed, at most.
+LEADS = (4, 2, 1)
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words: letters, digits and everything beyond ASCII."""
-    return F.filter(F.split(C.lower_ascii(C.no_nul(text)), BREAK), lambda w: w != "")
 
+    def inner(parts: Column) -> Column:
+        """Without the empty parts before a leading and after a trailing break."""
+        first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
 
-def window_hashes(words: Column, k: int) -> Column:
-    """The hash of each k consecutive words, by position; empty for shorter texts."""
+    return C.let(F.split(C.lower_ascii(C.no_nul(text)), BREAK), inner)
 
-    def roll(hashes: Column) -> Column:
-        last = F.size(hashes) - k
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
 
-    return C.let(F.transform(words, lambda w: F.xxhash64(w)), roll)
+def word_count(text: Column) -> Column:
+    def count(parts: Column) -> Column:
+        empty = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return (F.size(parts) - empty).cast("long")
+
+    return C.let(F.split(C.lower_ascii(C.no_nul(text)), BREAK), count)
+
+
+def lead_hashes(hashes: Column, lead: int) -> Column:
+    """The hash of each `lead` consecutive word hashes, by position. hashes: a column or variable, as it is used several times."""
+    if lead == 1:
+        return hashes
+    starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (lead - 1), F.lit(0)))
+    return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, lead)]))
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, k, gram, hash: each item's windows, each once."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    """item, k, gram, lead, hash: each item's windows, each once, and the hash of the first `lead` words."""
+    items = benchmark.select(F.coalesce(C.quoted(id_col).cast("string"), F.lit("null")).alias("item"), words_of(C.quoted(text_col)).alias("w")).filter(F.size("w") > 0)
     items = items.withColumn("k", F.least(F.size("w"), F.lit(window)))
-    grams = items.select("item", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k")))).alias("g"))
-    return grams.select("item", "k", F.array_join("g", " ").alias("gram"), "g").distinct()
+    grams = items.select("item", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k")))).alias("g")).distinct()
+    lead, value = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for n in sorted(LEADS):
+        first = [F.xxhash64(F.get("g", F.lit(j))) for j in range(n)]
+        lead = F.when(F.col("k") >= n, n).otherwise(lead)
+        value = F.when(F.col("k") >= n, first[0] if n == 1 else F.xxhash64(*first)).otherwise(value)
+    return grams.select("item", "k", F.array_join("g", " ").alias("gram"), lead.alias("lead"), value.alias("hash"))
+
+
+def probed(rows: DataFrame, leads: list[int]) -> DataFrame:
+    """rows (with words w) by position and lead in use: lead, hash, pos. The lists of all leads are exploded as one."""
+    lists = C.let(word_hashes(F.col("w")), lambda h: F.concat(*[lead_hashes(h, n) for n in leads]))
+    flat = rows.withColumn("_p", lists).select(*rows.columns, F.posexplode("_p").alias("_at", "hash"))
+    before, lead, pos = F.lit(0), F.lit(leads[0]), F.col("_at")
+    for earlier, n in zip(leads, leads[1:], strict=False):
+        before = before + F.greatest(F.size("w") - (earlier - 1), F.lit(0))
+        lead, pos = F.when(F.col("_at") >= before, n).otherwise(lead), F.when(F.col("_at") >= before, F.col("_at") - before).otherwise(pos)
+    return flat.select(*rows.columns, lead.alias("lead"), "hash", pos.alias("pos"))
+
+
+def identity(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(C.quoted(id_col).cast("long"), F.lit(C.MAX_LONG)).alias("_dc_ord"), C.text_key(C.quoted(text_col)).alias("_dc_tk")]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document with verified hits: _ord, _tk, _hit (sorted word positions), _items."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, limit: int = C.BROADCAST_BYTES) -> DataFrame:
+    """A row for each document with hits: _dc_ord, _dc_tk, _dc_hit (sorted word positions), _dc_items."""
     grams = C.written(benchmark_windows(benchmark, window), "benchmark-windows")
-    lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most `window` values
-    probes = None
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)).alias("_ord"), C.text_key(F.col(text_col)).alias("_tk"), F.col(text_col).alias("_text"))
-    for k in lengths:
-        part = keyed.select("_ord", "_tk", F.posexplode(window_hashes(words_of(F.col("_text")), k)).alias("pos", "hash"))
-        mine = grams.filter(F.col("k") == k).select(F.xxhash64(*[F.xxhash64(F.get("g", F.lit(j))) for j in range(k)]).alias("hash"), "gram", "k").distinct()
-        found = part.join(C.checked_broadcast(mine, 40 + 40 * window), "hash").select("_ord", "_tk", "pos", "k", "gram")
-        probes = found if probes is None else probes.unionByName(found)
-    if probes is None:
-        return docs.sparkSession.createDataFrame([], "_ord long, _tk long, _hit array<int>, _items array<string>")
-    hits = probes.groupBy("_ord", "_tk").agg(F.collect_set(F.struct("pos", "k", "gram")).alias("h"))
-    hits = C.checked_broadcast(C.written(hits, "window-hits"), 64, "h", C.BROADCAST_BYTES // 16)
-    checked = hits.join(keyed, ["_ord", "_tk"])
-    checked = checked.withColumn("w", words_of(F.col("_text"))).withColumn("h", F.filter("h", lambda x: F.array_join(F.slice("w", x["pos"] + 1, x["k"]), " ") == x["gram"]))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("h", lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))))
-    checked = C.written(checked.select("_ord", "_tk", covered.alias("_hit"), F.array_distinct(F.transform("h", lambda x: x["gram"])).alias("grams")).filter(F.size("_hit") > 0).dropDuplicates(["_ord", "_tk"]), "verified-hits")
-    owners = grams.select("gram", "item").distinct()
-    items = checked.select("_ord", "_tk", F.explode("grams").alias("gram")).join(C.checked_broadcast(owners, 60 + 40 * window), "gram").groupBy("_ord", "_tk").agg(F.collect_set("item").alias("_items"))
-    return C.written(checked.select("_ord", "_tk", "_hit").join(items, ["_ord", "_tk"]), "document-hits")
+    leads = sorted(r[0] for r in grams.select("lead").distinct().collect())  # at most three values
+    key = ["_dc_ord", "_dc_tk"]
+    if not leads:
+        return docs.sparkSession.createDataFrame([], "_dc_ord long, _dc_tk long, _dc_hit array<int>, _dc_items array<string>")
+    mine = C.written(grams.select("lead", "hash", "k", "gram").distinct(), "window-set")
+    few = mine.agg(F.sum(F.octet_length("gram") + 64)).first()[0] <= limit
+    rows = docs.select(*identity(id_col, text_col), words_of(C.quoted(text_col)).alias("w"))
+    found = probed(rows, leads)
+    if not few:  # positions first, so that no words are shuffled with them
+        at = found.drop("w").join(mine.select("lead", "hash").distinct(), ["lead", "hash"]).groupBy(*key).agg(F.collect_set(F.struct("lead", "hash", "pos")).alias("at"))
+        found = rows.join(C.written(at, "probed"), key).select(*key, "w", F.explode("at").alias("p")).select(*key, "w", "p.*")
+    found = found.join(F.broadcast(mine) if few else mine, ["lead", "hash"])
+    found = found.filter(F.array_join(F.slice("w", F.col("pos") + 1, F.col("k")), " ") == F.col("gram")).select(*key, "pos", "k", "gram")
+    found = C.written(found.distinct(), "window-hits")
+    spans = F.collect_set(F.struct("pos", "k"))
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))))
+    covered = found.groupBy(*key).agg(hit.alias("_dc_hit"))
+    owners = C.written(grams.select("gram", "item").distinct(), "window-items")
+    small = owners.agg(F.sum(F.octet_length("gram") + F.octet_length("item") + 64)).first()[0] <= limit
+    items = found.select(*key, "gram").distinct().join(F.broadcast(owners) if small else owners, "gram").groupBy(*key).agg(F.collect_set("item").alias("_dc_items"))
+    return C.written(covered.join(items, key), "document-hits")
 
 
 def cut_words(text: Column, hit: Column) -> Column:
@@ -88,21 +133,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, actio
     action: "flag" keeps all rows; "drop" leaves out contaminated documents; "cut" takes the hit words out of their texts.
     """
     hits = find_hits(docs, benchmark, window, id_col, text_col)
-    keyed = docs.withColumns({"_ord": F.coalesce(F.col(id_col).cast("long"), F.lit(C.MAX_LONG)), "_tk": C.text_key(F.col(text_col))})
+    key = ["_dc_ord", "_dc_tk"]
     if action == "drop":
-        return keyed.join(C.checked_broadcast(hits.select("_ord", "_tk"), 16), ["_ord", "_tk"], "left_anti").select(*docs.columns)
-    side = C.checked_broadcast(hits, 48, "_hit")
-    out = keyed.join(side, ["_ord", "_tk"], "left")
-    out = out.withColumns({
-        "n_words": F.size(words_of(F.col(text_col))).cast("long"),
-        "n_hit": F.coalesce(F.size("_hit"), F.lit(0)).cast("long"),
-        "items": F.array_sort(F.coalesce("_items", F.array().cast("array<string>"))),
-        "contaminated": F.col("_hit").isNotNull(),
-    })
-    out = out.withColumn("n_hit", F.greatest("n_hit", F.lit(0)))
-    if action == "cut":
-        out = out.withColumn(text_col, F.when(F.col("contaminated"), cut_words(F.col(text_col), F.col("_hit"))).otherwise(F.col(text_col)))
-    return out.drop("_ord", "_tk", "_hit", "_items")
+        keyed = docs.select("*", *identity(id_col, text_col))
+        return keyed.join(C.checked_broadcast(hits.select(*key), 16), key, "left_anti").drop(*key)
+    kept = C.others(docs, *OUTPUT)
+    size = hits.agg(F.sum(8 * F.size("_dc_hit") + F.aggregate("_dc_items", F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x) + 16))).first()[0]
+    keyed = docs.select(*map(C.quoted, kept), *identity(id_col, text_col), C.quoted(text_col).alias("_dc_text"))
+    out = keyed.join(F.broadcast(hits) if (size or 0) <= C.BROADCAST_BYTES else hits, key, "left")
+    contaminated = F.col("_dc_hit").isNotNull()
+    new = [
+        word_count(F.col("_dc_text")).alias("n_words"),
+        F.when(contaminated, F.size("_dc_hit")).otherwise(0).cast("long").alias("n_hit"),
+        F.array_sort(F.coalesce("_dc_items", F.array().cast("array<string>"))).alias("items"),
+        contaminated.alias("contaminated"),
+    ]
+    text = F.when(contaminated, cut_words(F.col("_dc_text"), F.col("_dc_hit"))).otherwise(F.col("_dc_text")) if action == "cut" else None
+    return out.select(*[text.alias(c) if text is not None and c == text_col else C.quoted(c) for c in kept], *new)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,3 +248,48 @@ def test_quality_without_language_and_source(spark):
     out = {x["doc_id"]: x["kept"] for x in q.quality_rules(docs).collect()}
     assert not out[99] and sum(out.values()) >= 58
     assert q.keep_good(docs).columns == ["doc_id", "text"]
+
+
+def test_line_dedup_keeps_clashing_columns_apart(spark):
+    docs = spark.createDataFrame([(1, "a line that comes twice", 5, "p", 7), (2, "a line that comes twice\nmore", 6, "q", 8)], "doc_id long, text string, N_lines int, `a.b` string, _ld_drop int")
+    got = ld.line_dedup(docs.drop("_ld_drop"))
+    assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_dropped", "kept_text"]
+    assert sorted(map(tuple, got.collect()))[1] == (2, "a line that comes twice\nmore", "q", 2, 1, "more")
+
+
+def test_merges_move_no_run(spark):
+    keys = lambda a, b: spark.range(a, b).selectExpr("xxhash64(id) h1", "id h2", "id lo", "id hi").groupBy("h1", "h2").agg({"lo": "min", "hi": "max"}).toDF("h1", "h2", "lo", "hi")
+    runs = ld.LevelledRuns(spark, 2)
+    try:
+        for a in (0, 500, 900):
+            got = runs.add(keys(a, a + 1000))
+        assert {r["h2"]: r["first_id"] for r in got.collect()} == {i: i for i in range(900, 1900)} and got.filter("is_new").count() == 400
+        assert {k: len(v) for k, v in runs.levels.items()} == {0: 1, 1: 1}
+        with ld.sorted_scans(spark):
+            batch = keys(5, 50).join(runs._run(runs.levels[1][0], "run0"), ["h1", "h2"], "left").join(runs._run(runs.levels[0][0], "run1"), ["h1", "h2"], "left")
+            plan = batch._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    finally:
+        runs.drop()
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_decontamination_of_many_lengths_with_and_without_broadcast(spark, limit):
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice("ab cd ef gh Ij".split()) + r.choice(["", "", ",", " -"]) for _ in range(n))
+    docs = [text(r.randint(0, 60)) for _ in range(60)] + [None, "  ", "..ab", "ab.."]
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 3, 4, 5, 6, 8, 9, 10, 11, 14])] + [(None, "ij"), (40, "!!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hits = {x["_dc_ord"]: (len(x["_dc_hit"]), sorted(x["_dc_items"])) for x in dec.find_hits(frame(spark, docs), bench, 10, "doc_id", "text", limit).collect()}
+    want = {i: (n, found) for i, _, n, found, hit in brute_decontamination(list(enumerate(docs)), items) if hit}
+    assert hits == want
+
+
+def test_decontamination_keeps_clashing_columns_apart(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma", 5, "p", 1.5)] * 2 + [(None, "clean", 6, "q", 2.5)], "doc_id long, text string, ITEMS int, `a.b` string, _hit double")
+    got = dec.decontaminate(docs, bench)
+    assert got.columns == ["doc_id", "text", "a.b", "_hit", "n_words", "n_hit", "items", "contaminated"]
+    assert sorted(map(tuple, got.fillna(0).collect()))[1:] == [(1, "x alpha beta gamma", "p", 1.5, 4, 3, ["1"], True)] * 2
+    assert dec.decontaminate(docs, bench, action="drop").columns == docs.columns
+    assert dec.decontaminate(docs, bench, action="cut").orderBy("doc_id").collect()[-1]["text"] == "x "

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import schemas
-from corpuslens.functions import chunker
+from corpuslens.functions import chunker, code
 from corpuslens.operators import annotate, classify, dml, encode, prompts, relational, rollup, splits, vectors
 from corpuslens.sources import files as sources
 
@@ -76,7 +76,7 @@ def pending_prompts(store: Store, per_prompt: int) -> DataFrame:
 def store_annotations(store: Store, annotations: DataFrame) -> None:
     """New functionalities, then processed flags up to the repositories. Doing it twice changes nothing."""
     snippets = store.read("snippets")
-    found = annotate.new_functionalities(annotations, snippets).withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "at": F.struct("snippet_id", "ordinal")}).drop("ordinal")
+    found = annotate.new_functionalities(annotations, snippets, normalize=code.mapped(code.normalize_tag, "string")).withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "at": F.struct("snippet_id", "ordinal")}).drop("ordinal")
     store.write("functionalities", dml.insert(store.read("functionalities"), found, "functionality_id", "at"))
     done = annotate.mark_processed(snippets, annotations)
     files, repositories = rollup.backfill(store.read("repositories"), store.read("files"), done)
@@ -150,8 +150,7 @@ def main(args: list[str] | None = None) -> None:
         case "ingest":
             store_annotations(store, annotate.parsed(sources.response_texts(sources.read_jsonl(spark, given.folder))[0], order=["path"]))
         case "load-cache":
-            cached = sources.cached_annotations(spark, given.folder)
-            store_annotations(store, cached.select("snippet_id", F.transform("items", lambda x: x["description"]).alias("items")))
+            store_annotations(store, sources.cached_annotations(spark, given.folder))
         case "split":
             split(store, given.test)
         case "cluster":

@@ -41,19 +41,18 @@ def chunk_code(code: str, language: str, max_tokens: int = 100, remove_comments:
             state["no"] += 1
             yield state["no"], text, a + 1, b
 
-    start = budget = i = 0
-    while i < len(lines):
+    start = budget = at = 0
+    for i in range(len(lines)):
         lines[i] = scrub_blobs(lines[i])
         tokens = counter(lines[i])
-        if budget + tokens <= max_tokens:
-            budget, i = budget + tokens, i + 1
-            continue
-        end = max((c for c in cuts if c <= i + 1), default=start)
-        if end <= start:
-            budget, i = budget + tokens, i + 1
-            continue
-        yield from emit(start, end)
-        start, budget = end, 0
+        if budget + tokens > max_tokens:
+            while at < len(cuts) and cuts[at] <= i + 1:
+                at += 1
+            if at and cuts[at - 1] > start:
+                yield from emit(start, cuts[at - 1])
+                start, budget = cuts[at - 1], 0
+        # a line that no cut makes room for is taken anyway
+        budget += tokens
     last = next((k for k in range(len(lines) - 1, -1, -1) if lines[k].strip()), len(lines) - 1)
     if start <= last:
         yield from emit(start, last + 1)
@@ -71,10 +70,12 @@ def chunk_udtf(**options):
     return udtf(Chunks, returnType="chunk_no int, code string, start_line int, end_line int")
 
 
-def chunk_files(files, max_tokens: int = 100, key: str = "file_id"):
+def chunk_files(files, max_tokens: int = 100, key: str = "file_id", partitions: int | None = None):
     """(chunks, failed): chunks of files (key, language, source), and files whose chunking failed, with the error.
 
-    A failed file gives no chunk at all. One pass; the two results are filters of it.
+    A failed file gives no chunk at all. The two results are filters of one plan:
+    write it first where both are wanted. partitions: deals the files out anew,
+    for a few large input files that would make as many tasks.
     """
     import pandas as pd
 
@@ -88,5 +89,6 @@ def chunk_files(files, max_tokens: int = 100, key: str = "file_id"):
                     rows.append((k, None, None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=[key, "chunk_no", "code", "start_line", "end_line", "error"])
 
-    out = files.select(key, "language", "source").mapInPandas(run, f"{key} long, chunk_no int, code string, start_line int, end_line int, error string")
+    rows = files.select(key, "language", "source")
+    out = (rows.repartition(partitions, key) if partitions else rows).mapInPandas(run, f"{key} long, chunk_no int, code string, start_line int, end_line int, error string")
     return out.filter("error is null").drop("error"), out.filter("error is not null").select(key, "error")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -41,6 +43,8 @@ LANGUAGES = {
 }
 SUFFIXES = {s.lower(): name for name, suffixes in LANGUAGES.items() for s in suffixes}
 
+NOT_NEWLINE = re.compile(r"[^\n]")
+#: Fixed value: what counts as an encoded blob.
 BLOB = re.compile(r"""['"]([A-Za-z0-9+/=\s]{200,})['"]""")
 LITERAL = re.compile(r"""(["'])((?:\\.|(?!\1)[^\\\n])*)\1""")
 
@@ -109,44 +113,60 @@ SPECS = {
 }
 
 
+@lru_cache(maxsize=64)
+def marks(spec: LanguageSpec) -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
+    """What opens a comment or a string (block comments first, then line comments, then quotes), the ends of block comments, and the line marks."""
+    block = dict(spec.block)
+    return re.compile("|".join(map(re.escape, [*block, *spec.line, *spec.strings])) or r"(?!)"), block, frozenset(spec.line)
+
+
+@lru_cache(maxsize=64)
+def inside(quote: str) -> re.Pattern:
+    """What may stand between a string's quotes; strings of one quote end with their line, but for backticks."""
+    stops = re.escape(quote[0]) + "\\\\" + ("\\n" if len(quote) == 1 and quote != "`" else "")
+    more = f"(?!{re.escape(quote)}){re.escape(quote[0])}|" if len(quote) > 1 else ""
+    return re.compile(f"(?:[^{stops}]+|{more}\\\\.)*+", re.S)
+
+
 def comment_spans(code: str, language: str) -> list[tuple[int, int]]:
     """Character ranges of comments (and of strings that stand alone, where the language has those), in order."""
     spec = SPECS[language]
-    out, i, n = [], 0, len(code)
-    while i < n:
-        for a, b in spec.block:
-            if code.startswith(a, i):
-                stop = code.find(b, i + len(a))
-                stop = n if stop < 0 else stop + len(b)
-                out.append((i, stop))
-                i = stop
-                break
+    opens, ends, line = marks(spec)
+    out, n = [], len(code)
+    i = max(1, code.find("\n")) if code.startswith("#!") else 0
+    row = seen = 0  # where the line of the last string looked at begins
+    while found := opens.search(code, i):
+        i, mark = found.start(), found[0]
+        if mark in ends:
+            stop = code.find(ends[mark], i + len(mark))
+            stop = n if stop < 0 else stop + len(ends[mark])
+            out.append((i, stop))
+        elif mark in line:
+            stop = code.find("\n", i)
+            stop = n if stop < 0 else stop
+            out.append((i, stop))
         else:
-            if any(code.startswith(x, i) for x in spec.line) and not (i == 0 and code.startswith("#!")):
-                stop = code.find("\n", i)
-                stop = n if stop < 0 else stop
-                out.append((i, stop))
-                i = stop
-                continue
-            quote = next((q for q in spec.strings if code.startswith(q, i)), None)
-            if quote is None:
-                i = code.find("\n", i) if i == 0 and code.startswith("#!") and "\n" in code else i + 1
-                continue
-            stop = i + len(quote)
-            while stop < n and not code.startswith(quote, stop) and not (len(quote) == 1 and quote != "`" and code[stop] == "\n"):
-                stop += 2 if code[stop] == "\\" else 1
-            stop = min(n, stop + len(quote))
-            before, after = code.rfind("\n", 0, i) + 1, code.find("\n", stop)
-            after = n if after < 0 else after
-            if spec.docstrings and not code[before:i].strip() and code[stop:after].strip() in ("", ";"):
-                previous = code[:before].rstrip()
-                if not previous or previous[-1] not in "([{,=+\\":
-                    out.append((i, after))
-                    stop = after
-            i = stop
+            stop = min(n, inside(mark).match(code, i + len(mark)).end() + len(mark))
+            if spec.docstrings:
+                at = code.rfind("\n", seen, i)
+                row, seen = at + 1 if at >= 0 else row, i
+                if not code[row:i].strip():
+                    after = code.find("\n", stop)
+                    after = n if after < 0 else after
+                    if code[stop:after].strip() in ("", ";") and last_character(code, row) not in tuple("([{,=+\\"):
+                        out.append((i, after))
+                        stop = after
+        i = stop
     return out
 
 
+def last_character(code: str, stop: int) -> str:
+    """The last character before stop that isn't white space, or an empty string."""
+    while stop and code[stop - 1].isspace():
+        stop -= 1
+    return code[stop - 1 : stop]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching ranges as one."""
     out: list[tuple[int, int]] = []
@@ -182,14 +202,15 @@ def strip_comments(code: str, language: str, header_lines: int = 0) -> str:
 def important_lines(code: str, language: str) -> tuple[list[int], list[int]]:
     """(definition rows, comment rows), 0-based and sorted; definitions inside comments do not count."""
     spans = merged(comment_spans(code, language))
+    newlines = [m.start() for m in re.finditer("\n", code)]
     comments: set[int] = set()
+    bare, at = [], 0
     for a, b in spans:
-        comments.update(range(code.count("\n", 0, a), code.count("\n", 0, max(a, b - 1)) + 1))
-    bare = list(code)
-    for a, b in spans:
-        bare[a:b] = [c if c == "\n" else " " for c in bare[a:b]]
+        comments.update(range(bisect_left(newlines, a), bisect_left(newlines, max(a, b - 1)) + 1))
+        bare += [code[at:a], NOT_NEWLINE.sub(" ", code[a:b])]
+        at = b
     start = re.compile(SPECS[language].starts)
-    rows = [i for i, line in enumerate("".join(bare).split("\n")) if line.strip() and start.search(line)]
+    rows = [i for i, line in enumerate("".join([*bare, code[at:]]).split("\n")) if line.strip() and start.search(line)]
     return rows, sorted(comments)
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuslens.functions.text import parsed_annotations
 
@@ -97,12 +98,17 @@ def parsed(outputs: DataFrame, column: str = "output", order: list[str] | None =
 def new_functionalities(annotations: DataFrame, snippets: DataFrame, skip_processed: bool = True, normalize=None) -> DataFrame:
     """snippet_id, ordinal, description, tag: distinct items in the order they came; known snippets only.
 
+    Items are descriptions, or structs (description, tag) whose tags are kept;
+    tags that are missing come from normalize (lower case without one).
     skip_processed makes storing the same answers twice change nothing.
     """
     open_ones = snippets.filter(~F.col("processed")) if skip_processed else snippets
     rows = annotations.join(open_ones.select("snippet_id"), "snippet_id", "left_semi")
-    out = rows.select("snippet_id", F.posexplode(F.array_distinct("items")).alias("ordinal", "description"))
-    return out.withColumn("tag", F.lower("description") if normalize is None else normalize(F.col("description")))
+    out = rows.select("snippet_id", F.posexplode(F.array_distinct("items")).alias("ordinal", "item"))
+    tagged = isinstance(annotations.schema["items"].dataType.elementType, StructType)
+    out = out.select("snippet_id", "ordinal", F.col("item.description" if tagged else "item").alias("description"), (F.col("item.tag") if tagged else F.lit(None).cast("string")).alias("_tag"))
+    made = F.lower("description") if normalize is None else normalize(F.col("description"))
+    return out.select("snippet_id", "ordinal", "description", F.coalesce("_tag", made).alias("tag"))
 
 
 def mark_processed(snippets: DataFrame, annotations: DataFrame) -> DataFrame:

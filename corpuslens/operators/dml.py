@@ -53,9 +53,8 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, fields: list[str
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new rows replace old ones with their key; an empty `new` raises when the plan runs."""
-    checked = base.join(new.select(key), key, "left_anti")
-    return checked.unionByName(new)
+    """new rows replace old ones with their key; an empty `new` changes nothing."""
+    return base.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def merge_payload(vectors: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:

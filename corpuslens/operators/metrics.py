@@ -81,6 +81,27 @@ def auc(rows: DataFrame, truth: str = "truth", score: str = "score") -> DataFram
     return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def auc_by_class(rows: DataFrame, truth: str = "truth", of: str = "class", score: str = "score") -> DataFrame:
+    """class, support, auc of one class against the rest; rows: a row for each item and class, truth 1 if the item is of it.
+
+    All classes are ranked in one distributed sort by class and score; ties are averaged; auc is null if a side is missing.
+    """
+    fine = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    steps = fine.groupBy(F.struct(F.col(of).alias("class"), F.col(score).cast("double").alias("score")).alias("at")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).cast("long").alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).cast("long").alias("neg"))
+    before = running(steps, "at", ["pos", "neg"]).withColumn("class", F.col("at.class"))
+    # ranks over all classes; a class's first rank is the count of the classes before it
+    rank = F.col("pos_before") + F.col("neg_before") + (F.col("pos") + F.col("neg") + 1) / 2
+    sums = before.groupBy("class").agg(F.sum(rank * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.min(F.col("pos_before") + F.col("neg_before")).alias("first"))
+    p, q = F.col("p"), F.col("q")
+    return sums.select("class", p.alias("support"), F.when((p > 0) & (q > 0), (F.col("r") - F.col("first") * p - p * (p + 1) / 2) / (p * q)).alias("auc"))
+
+
+def auc_averages(classes: DataFrame) -> DataFrame:
+    """One row: the mean AUC of the classes that have one, and the mean weighted by support."""
+    known = classes.filter("auc is not null")
+    return known.agg(F.avg("auc").alias("macro"), (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("weighted"))
+
+
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """label, n, weight: in proportion to 1 / (n + 1e-6), summing to 1."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("_w", 1 / (F.col("n") + F.lit(1e-6)))

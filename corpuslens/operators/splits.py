@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.relational import numbered
 
-def _draw(key: str, seed: int):
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+#: Class tables of at most so many rows are broadcast.
+FEW_CLASSES = 100_000
+
+
+def _draw(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
 def ranked_in_class(rows: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """rows with place = 1.. within their class and size = the class's count."""
-    by = Window.partitionBy(label)
-    return rows.withColumn("place", F.row_number().over(by.orderBy(_draw(key, seed), key))).withColumn("size", F.count(F.lit(1)).over(by))
+    """rows with place = 1.. within their class and size = the class's count.
+
+    One distributed sort by class and hash numbers all rows; a class's first
+    number turns these into places, so that no task sorts a whole class.
+    """
+    placed = numbered(rows.withColumn("_draw", _draw(F.col(key), seed)), label, "_draw", key)
+    classes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("size"))
+    if classes.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+        classes = F.broadcast(classes)
+    joined = placed.join(classes, F.col(label).eqNullSafe(F.col("_class")))
+    return joined.select(*rows.columns, (F.col("row_no") - F.col("_first") + 1).alias("place"), "size")
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, test_size: float, train_size: float | None = None, seed: int = 42) -> DataFrame:
@@ -37,14 +50,25 @@ def balanced(rows: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame
     return ranked.crossJoin(F.broadcast(least)).filter(F.col("place") <= F.col("_least")).drop("place", "size", "_least")
 
 
-def weighted_sample(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """About n rows with replacement, each class as likely: weights 1 / (class size + 1e-6)."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    rate = F.col("_total") / (F.col("_classes") * (F.col("_n") + F.lit(1e-6)))
-    totals = sizes.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
-    expected = rows.join(F.broadcast(sizes), label).crossJoin(F.broadcast(totals)).withColumn("_rate", rate)
-    copies = F.floor("_rate") + F.when(F.rand(seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    drawn = expected.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+def weighted_sample(rows: DataFrame, label: str, seed: int = 42, key: str | None = None) -> DataFrame:
+    """As many rows as there are, with replacement, each class equally often (the remainder goes to the first classes).
+
+    A systematic draw in hash order: exact in number, and the same whatever the
+    partitioning. key tells rows apart; without one, all columns do.
+    """
+    keyed = rows.withColumn("_key", F.col(key).cast("string") if key else F.xxhash64(*rows.columns).cast("string"))
+    ranked = ranked_in_class(keyed, "_key", label, seed)
+    classes = ranked.groupBy(label).agg(F.first("size").alias("_n"))
+    if classes.limit(FEW_CLASSES + 1).count() > FEW_CLASSES:
+        raise ValueError("too many classes to weigh")
+    sizes = sorted(((r[0], r[1]) for r in classes.collect()), key=lambda x: (x[0] is not None, x[0]))
+    total, quota = sum(n for _, n in sizes), F.lit(0)
+    for i, (name, _) in enumerate(sizes):
+        share = total // len(sizes) + (i < total % len(sizes))
+        quota = F.when(F.col(label).eqNullSafe(F.lit(name)), F.lit(share)).otherwise(quota)
+    upto = lambda place: F.expr(f"(({place}) * _quota) div size")
+    copies = (upto("place") - upto("place - 1")).cast("int")
+    drawn = ranked.withColumn("_quota", quota.cast("long")).withColumn("_copies", copies).filter("_copies > 0")
     return drawn.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*rows.columns)
 
 

@@ -46,10 +46,32 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def nearest_centroid(vectors: DataFrame, centroids: list[tuple[int, list[float]]], column: str = "vector") -> DataFrame:
-    """id, cluster: the nearest of a model's centroids (ties: least id). The centroids are the model: k times d numbers."""
-    table = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*map(F.lit, map(float, c))).alias("c")) for i, c in centroids])
-    ranked = F.transform(table, lambda t: F.struct(squared_distance(F.col(column), t["c"]).alias("d"), t["cluster"].alias("cluster")))
-    return vectors.select("id", F.array_min(ranked)["cluster"].alias("cluster"))
+    """id, cluster: the nearest of a model's centroids (ties: least id).
+
+    The centroids are the model (k times d numbers, on the driver as k-means
+    leaves them); they reach each worker once, and vectors meet them in blocks
+    of bounded size.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    order = sorted(centroids)
+    names, table = np.array([i for i, _ in order], np.int64), np.array([c for _, c in order], float)
+    model = vectors.sparkSession.sparkContext.broadcast((names, table))
+    kind = vectors.schema["id"].dataType
+
+    def run(batches):
+        names, table = model.value
+        block = max(1, 4_000_000 // table.size)
+        for batch in batches:
+            rows = [np.array(v, float) for v in batch.column("vector").to_pylist()]
+            found = []
+            for a in range(0, len(rows), block):
+                some = np.stack(rows[a : a + block])
+                found += names[((some[:, None, :] - table[None]) ** 2).sum(axis=2).argmin(axis=1)].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], names=["id", "cluster"])
+
+    return vectors.select("id", F.col(column).alias("vector")).mapInArrow(run, f"id {kind.simpleString()}, cluster long")
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:

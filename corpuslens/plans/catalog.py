@@ -300,7 +300,8 @@ def cosine_topk_due(spark, d):
     return vectors.cosine_topk(rows.filter(F.col("id") % 50 == 0), rows, 5)
 
 
-@query()
+@query(r""", u AS (SELECT id, unnest(vector)::DOUBLE AS x FROM vectors), n AS (SELECT id, count(*) AS dims, sqrt(sum(x * x)) AS norm FROM u GROUP BY id)
+SELECT doc_id AS id, coalesce(dims, 256)::INTEGER AS dims, round(CASE WHEN dims IS NOT NULL THEN norm WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0 ELSE 1 END, 4) AS norm FROM documents LEFT JOIN n ON id = doc_id""")
 def embed_missing(spark, d):
     rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("tag"))
     cached = S.vectors(spark, d).select("id", "vector")
@@ -374,12 +375,14 @@ def parse_llm_output(spark, d):
     return rows.select(F.col("snippet_id").cast("long").alias("snippet_id"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_distinct("items"), "|"), 256).alias("digest"))
 
 
-@query()
+@query(""", a AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 10 = 0 THEN '' ELSE replace(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), ';', ','), '. ', '; ') END, ';'), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents),
+u AS (SELECT doc_id, unnest(items) AS item FROM a WHERE doc_id % 4 <> 0 AND NOT (len(items) = 1 AND lower(items[1]) = 'none'))
+SELECT doc_id AS snippet_id, count(DISTINCT item) AS n FROM u GROUP BY doc_id""")
 def store_annotations(spark, d):
     """New functionalities of annotated documents, and how many snippets that marks."""
     snippets = S.table(spark, d, "documents").select(F.col("doc_id").alias("snippet_id"), (F.col("doc_id") % 4 == 0).alias("processed"))
     found = annotate.new_functionalities(annotate.parsed(answers(spark, d)), snippets)
-    return found.groupBy("snippet_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(F.col("snippet_id").cast("long").alias("snippet_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -461,7 +464,7 @@ def normalize_tag(spark, d):
 @query()
 def chunk_documents(spark, d):
     files = S.table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("html").alias("language"), text.normalize_eol(F.col("html")).alias("source"))
-    return chunker.chunk_files(files)[0].select("file_id", "chunk_no", "start_line", "end_line", F.sha2("code", 256).alias("digest"))
+    return chunker.chunk_files(files, partitions=spark.sparkContext.defaultParallelism)[0].select("file_id", "chunk_no", "start_line", "end_line", F.sha2("code", 256).alias("digest"))
 
 
 @query()
@@ -471,7 +474,7 @@ def chunk_lateral(spark, d):
     return spark.sql("SELECT page_id, c.chunk_no, c.start_line, c.end_line FROM chunk_pages, LATERAL chunk_code(html, 'html') c")
 
 
-@query()
+@query("SELECT page_id, sha256(regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g')) AS digest FROM pages")
 def strip_comments_html(spark, d):
     strip = code.mapped(lambda x: code.strip_comments(x, "html"), "string")
     return S.table(spark, d, "pages").select("page_id", F.sha2(strip("html"), 256).alias("digest"))
@@ -511,9 +514,13 @@ def balance_classes(spark, d):
     return splits.balanced(S.table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality")
 
 
-@query()
+@query(""", r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':42'), doc_id::VARCHAR) AS place, count(*) OVER (PARTITION BY quality) AS size, count(*) OVER () AS total FROM labels),
+c AS (SELECT quality, row_number() OVER (ORDER BY quality) - 1 AS i, count(*) OVER () AS classes FROM (SELECT DISTINCT quality FROM labels)),
+q AS (SELECT r.*, total // classes + CASE WHEN i < total % classes THEN 1 ELSE 0 END AS quota FROM r JOIN c ON r.quality IS NOT DISTINCT FROM c.quality)
+SELECT doc_id, quality, ((place * quota) // size - ((place - 1) * quota) // size)::BIGINT AS copies FROM q WHERE (place * quota) // size > ((place - 1) * quota) // size""")
 def weighted_sample(spark, d):
-    return splits.weighted_sample(S.table(spark, d, "labels").select("doc_id", "quality"), "quality").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    drawn = splits.weighted_sample(S.table(spark, d, "labels").select("doc_id", "quality"), "quality", key="doc_id")
+    return drawn.groupBy("doc_id", "quality").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query("SELECT id, v.repository_id, r.split, tag FROM vectors v JOIN repositories r ON v.repository_id = r.repository_id")
@@ -588,6 +595,29 @@ def auc_exact(spark, d):
     return metrics.auc(scored(spark, d)).select(F.round("auc", 9).alias("auc"))
 
 
+CLASS_SCORES = """, s AS (SELECT repository_id AS truth, unnest(vector[1:10])::DOUBLE AS score, generate_subscripts(vector[1:10], 1) - 1 AS class FROM vectors),
+k AS (SELECT class, truth = class AS hit, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS r FROM s),
+t AS (SELECT class, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE NOT hit) AS q, sum(r) FILTER (WHERE hit) AS r FROM k GROUP BY class),
+a AS (SELECT class, p AS support, CASE WHEN p > 0 AND q > 0 THEN (r - p * (p + 1) / 2) / (p * q) END AS auc FROM t)
+"""
+
+
+def class_scores(spark, d):
+    """Each vector's first ten entries as scores of the ten classes."""
+    rows = S.vectors(spark, d).select(F.col("payload.repository_id").alias("label"), F.posexplode(F.slice("vector", 1, 10)).alias("class", "score"))
+    return rows.select((F.col("label") == F.col("class")).cast("int").alias("truth"), "class", "score")
+
+
+@query(CLASS_SCORES + "SELECT class::INTEGER AS class, support, round(auc, 9) AS auc FROM a")
+def auc_per_class(spark, d):
+    return metrics.auc_by_class(class_scores(spark, d)).withColumn("auc", F.round("auc", 9))
+
+
+@query(CLASS_SCORES + "SELECT round(avg(auc), 9) AS macro, round(sum(auc * support) / sum(support) FILTER (WHERE auc IS NOT NULL), 9) AS weighted FROM a")
+def auc_averages(spark, d):
+    return metrics.auc_averages(metrics.auc_by_class(class_scores(spark, d))).withColumns({c: F.round(c, 9) for c in ("macro", "weighted")})
+
+
 @query(""", e AS (SELECT id, [exp(vector[1]::DOUBLE - m), exp(vector[2]::DOUBLE - m), exp(vector[3]::DOUBLE - m)] AS x FROM (SELECT id, vector, greatest(vector[1], vector[2], vector[3])::DOUBLE AS m FROM vectors))
 SELECT id, round(x[1] / list_sum(x), 6) AS p0, (CASE WHEN x[1] >= x[2] AND x[1] >= x[3] THEN 0 WHEN x[2] >= x[3] THEN 1 ELSE 2 END)::INTEGER AS class FROM e""")
 def softmax_argmax(spark, d):
@@ -640,11 +670,11 @@ def event_stream(spark, d):
 def stream_rollup(spark, d):
     """An extension: the roll-up of flags over a stream, against the batch result."""
     rows = event_stream(spark, d).select("user_id", F.col("event_type").isin("purchase", "view").alias("processed"))
-    return queue.run_to_memory(queue.rollup_stream(rows, "user_id"), "stream_rollup_out")
+    return queue.drained(queue.rollup_stream(rows, "user_id"), "user_id")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     """An extension: event-time windows with a watermark."""
-    out = queue.run_to_memory(queue.windowed_counts(event_stream(spark, d)), "stream_windows_out")
+    out = queue.drained(queue.windowed_counts(event_stream(spark, d)), "window", "event_type")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -68,9 +68,15 @@ def with_language(files: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """path, value: non-blank lines of *.jsonl files that hold a JSON object."""
+    return jsonl_lines(spark, folder, recursive)[0]
+
+
+def jsonl_lines(spark: SparkSession, folder: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(path, value) of the non-blank lines of *.jsonl files that hold a JSON object, and of those that don't (dead letters)."""
     reader = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", str(recursive).lower())
     lines = reader.text(folder).select(F.input_file_name().alias("path"), "value").filter(F.trim("value") != "")
-    return lines.filter(F.get_json_object("value", "$").isNotNull())
+    fine = F.get_json_object("value", "$").isNotNull()
+    return lines.filter(fine), lines.filter(~fine)
 
 
 def response_texts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from corpuslens.operators.materialize import scratch
 
 
 def pending_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -31,8 +34,22 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
     return rows.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drains a finite stream into a table of that name."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, *keys: str) -> DataFrame:
+    """Drains a finite aggregated stream: the last state of each key.
+
+    Micro-batches write the groups they changed (output mode update, so state
+    behind the watermark goes) as Parquet in the shared folder; a batch that is
+    run again overwrites its own folder. Nothing is held by the driver.
+    """
+    spark = stream.sparkSession
+    place = scratch(spark, "stream")
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/rows/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    fields = list(stream.schema.names)
+    states = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{place}/rows")
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fields if c not in keys]), "batch").alias("_state"))
+    return last.select(*keys, "_state.*").select(*fields)

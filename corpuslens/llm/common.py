@@ -22,7 +22,7 @@ ARROW_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of this session hold at most ARROW_BYTES, unless it sets a smaller bound itself."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "0").lower().rstrip("b")
+    now = spark.conf.get(key).lower().rstrip("b")
     if not now.isdigit() or not 0 < int(now) < ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 

@@ -35,7 +35,7 @@ BITS = 27
 #: At most so many keys are hot, whatever the corpus.
 MOST_HOT = 50_000
 HOT_SPANS = 4_000
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * A1)
 
 
@@ -295,6 +295,7 @@ def resolve(sent: DataFrame, resolver: Resolver, shard_bytes: int = 1 << 20) ->
 def removed_ranges(docs: DataFrame, kind: Kind, resolver: Resolver, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ord, tk, cut: by document with repeats, the sorted disjoint symbol ranges to remove (start, end, start, end, ...)."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     rows = keyed(docs, id_col, text_col)
     keys, total = recurring_keys(rows, kind)
     bits = spark.sparkContext.broadcast(bitmap(keys))

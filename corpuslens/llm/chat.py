@@ -103,6 +103,7 @@ FRAGMENTS_DDL = "conv_id long, part long, text string, n_turns long, turn_starts
 
 def format_chats(rows: DataFrame, template: Callable[[list[Turn]], str] = plain_template, part_turns: int = 32, context: int = 2, loss_role: str = "assistant") -> DataFrame:
     """Fragments of formatted conversations; a conversation's text is its fragments' texts in the order of part, unless one rewrites."""
+    C.small_batches(rows.sparkSession)
     windowed = getattr(template, "memoryless", False)
 
     def recent(turns: list[Turn]) -> list[Turn]:

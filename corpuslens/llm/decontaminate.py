@@ -74,9 +74,12 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_col: str = "item_id"
 
 
 def probed(rows: DataFrame, leads: list[int]) -> DataFrame:
-    """rows (with words w) by position and lead in use: lead, hash, pos. The lists of all leads are exploded as one."""
+    """rows (with words w) by position and lead in use: lead, hash, pos (null for rows without words). The lists of all leads are exploded as one.
+
+    An outer explode: for an inner one, a filter on the lists would compute them twice.
+    """
     lists = C.let(word_hashes(F.col("w")), lambda h: F.concat(*[lead_hashes(h, n) for n in leads]))
-    flat = rows.withColumn("_p", lists).select(*rows.columns, F.posexplode("_p").alias("_at", "hash"))
+    flat = rows.withColumn("_p", lists).select(*rows.columns, F.posexplode_outer("_p").alias("_at", "hash"))
     before, lead, pos = F.lit(0), F.lit(leads[0]), F.col("_at")
     for earlier, n in zip(leads, leads[1:], strict=False):
         before = before + F.greatest(F.size("w") - (earlier - 1), F.lit(0))

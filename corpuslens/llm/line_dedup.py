@@ -100,7 +100,7 @@ def identity(id_col: str, text_col: str) -> list[Column]:
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """A row for each line that could go: ord, tk (document), pos, h1, h2 (key)."""
     ord_, tk = identity(id_col, text_col)
-    rows = docs.select(ord_.alias("ord"), tk.alias("tk"), F.posexplode(F.split(C.no_nul(C.quoted(text_col)), "\n")).alias("pos", "line"))
+    rows = docs.select(ord_.alias("ord"), tk.alias("tk"), F.posexplode_outer(F.split(C.no_nul(C.quoted(text_col)), "\n")).alias("pos", "line"))
     rows = rows.select("ord", "tk", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     return rows.select("ord", "tk", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -118,8 +118,8 @@ def shared_lines(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
         runs.drop()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; one row for each row of docs."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2, replace: bool = False) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text; one row for each row of docs. replace: docs' own columns, with the kept text in place of the text."""
     ord_, tk = identity(id_col, text_col)
     shares = [i / batches for i in range(1, batches)]
     bounds = (docs.select(ord_.alias("ord")).agg(F.percentile_approx("ord", shares)).first()[0] or []) if shares else []
@@ -130,14 +130,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = shared_lines(lines, batches, fanout)
     drops = lines.join(C.checked_broadcast(shared, 48), ["h1", "h2"]).filter("ord > first_id")
     drops = C.written(drops.groupBy(F.col("ord").alias("_ld_ord"), F.col("tk").alias("_ld_tk")).agg(F.collect_set("pos").alias("_ld_drop")), "dropped-lines")
-    kept = [C.quoted(c) for c in C.others(docs, *OUTPUT)]
+    kept = [C.quoted(c) for c in (docs.columns if replace else C.others(docs, *OUTPUT))]
     joined = docs.select(*kept, *[C.quoted(c).alias("_ld_text") for c in [text_col]], ord_.alias("_ld_ord"), tk.alias("_ld_tk"))
     joined = joined.join(C.checked_broadcast(drops, 48, "_ld_drop"), ["_ld_ord", "_ld_tk"], "left")
     text = C.no_nul(F.col("_ld_text"))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     left = C.let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), F.transform("_ld_drop", lambda p: p + 1)), lambda i: F.get(x, i - 1)), "\n"))
     n_dropped = F.greatest(F.coalesce(F.size("_ld_drop"), F.lit(0)), F.lit(0)).cast("long")
-    return joined.select(*kept, n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), F.when(F.col("_ld_drop").isNull(), text).otherwise(left).alias("kept_text"))
+    kept_text = F.when(F.col("_ld_drop").isNull(), text).otherwise(left)
+    if replace:
+        return joined.select(*[kept_text.alias(c) if c == text_col else C.quoted(c) for c in docs.columns])
+    return joined.select(*kept, n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), kept_text.alias("kept_text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,21 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    r = random.Random(2)
+    prose = lambda: "\n".join(" ".join(f"v{r.randrange(300)}" for _ in range(12)) for _ in range(6))
+    texts = [prose() for _ in range(12)]
+    rows = [(i, t, 5, "k") for i, t in enumerate(texts)] + [(3, prose(), 6, "k"), (None, prose(), 7, "k"), (None, None, 8, "k"), (50, "", 9, "k"), (4, texts[4], 5, "k")]
+    kind = "doc_id long, text string, n_lines int, Items string"  # no lang, no source, no n_chars; clashing names
+    spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "n_lines", "Items"]
+    kept = docs.collect()
+    assert {x["n_lines"] for x in kept} == {5, 6, 7} and {x["Items"] for x in kept} == {"k"}
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted([*range(12), 3, 4])
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,12 +1,14 @@
 """Suffix-array dedup by bucket-pointer refinement.
 
 Within a shard of spans that share a key, positions start in buckets of equal
-q-grams. A bucket of several positions is refined by sorting its members on
+q-grams, in the order of their bytes; a bucket's identifier is the rank of its
+first member. A bucket of several positions is refined by sorting its members on
 the bucket identifiers of a later offset; the refined identifiers take the
 place of the old ones, so the next step reuses them and doubles the depth.
 Positions alone in their bucket are left out of all further steps. At the
-window's depth, positions in one bucket start the same window. The shards'
-orders together are the part of the suffix array that holds repeats.
+window's depth, identifiers order a shard's positions as their windows' bytes
+do, and positions in one bucket start the same window. All spans of a shard are
+refined, whatever their counts.
 
 Defined results: null and empty texts have no bytes and keep the empty text;
 texts shorter than a window lose nothing; repeated rows are copies and lose
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from .hashing import grams
-from .repeats import BYTE_HASH, Kind, Span, removed_ranges, with_ranges
+from .hashing import U
+from .repeats import Kind, Span, removed_ranges, with_ranges
 
 WINDOW = 200
+#: Bytes of the initial buckets; so many fit a 64-bit number.
+GRAM = 8
 
 
 def kind(window: int = WINDOW) -> Kind:
@@ -35,29 +39,37 @@ def kind(window: int = WINDOW) -> Kind:
 
 
 def refine(ids: np.ndarray, more: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
-    """One step: sorts the positions `more` on (own bucket, bucket at offset); new ids, and the positions still not alone."""
+    """One step: sorts the positions `more` (whole buckets) on (own bucket, bucket at offset); new ids, and the positions still not alone."""
     at = np.minimum(more + offset, len(ids) - 1)
     order = np.lexsort((ids[at], ids[more]))
-    a, b = ids[more[order]], ids[at[order]]
-    new = np.ones(len(more), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
+    place = more[order]
+    a, b = ids[place], ids[at[order]]
+    bucket, part = np.ones(len(more), bool), np.ones(len(more), bool)
+    np.not_equal(a[1:], a[:-1], out=bucket[1:])
+    part[1:] = bucket[1:] | (b[1:] != b[:-1])
+    turn = np.arange(len(more))
+    first = np.maximum.accumulate(np.where(part, turn, 0))
     out = ids.copy()
-    # an identifier of its own range for each step: those of positions left alone stay as they were
-    out[more[order]] = group + ids.max() + 1
-    return out, np.sort(more[order][size[group] > 1])
+    out[place] = a + first - np.maximum.accumulate(np.where(bucket, turn, 0))
+    alone = part & np.append(part[1:], True)
+    return out, np.sort(place[~alone])
+
+
+def initial_buckets(data: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of buckets of equal q-grams (q <= 8) in the order of their bytes, and the positions not alone. The last q - 1 positions begin no gram: each is alone, after all others."""
+    n = max(0, len(data) - q + 1)
+    value = np.zeros(n, np.uint64)
+    for j in range(q):
+        value = (value << U(8)) | data[j : j + n]
+    _, rank, sizes = np.unique(value, return_inverse=True, return_counts=True)
+    ids = np.concatenate([(np.cumsum(sizes) - sizes)[rank], np.arange(n, len(data))]).astype(np.int64)
+    return ids, np.flatnonzero(sizes[rank] > 1)
 
 
 def buckets(data: np.ndarray, window: int) -> np.ndarray:
-    """By position, an identifier that two positions share only if the window bytes from them are equal."""
-    q = window
-    while q > 32:
-        q = -(-q // 2)
-    first = grams(BYTE_HASH[data], q)
-    _, ids, sizes = np.unique(first, return_inverse=True, return_counts=True)
-    ids = np.concatenate([ids.astype(np.int64), np.arange(len(data) - len(first), dtype=np.int64) + len(sizes)])
-    more, depth = np.flatnonzero(sizes[ids[: len(first)]] > 1), q
+    """By position, an identifier that orders windows by their bytes; two windows share it only if they are equal."""
+    depth = min(GRAM, window)
+    ids, more = initial_buckets(data, depth)
     while depth < window and len(more):
         step = min(depth, window - depth)
         ids, more = refine(ids, more, step)
@@ -67,28 +79,16 @@ def buckets(data: np.ndarray, window: int) -> np.ndarray:
 
 def repeated_windows(spans: list[Span], window: int = WINDOW) -> Iterator[tuple[int, int, int, int]]:
     """The byte ranges of each span that windows which come twice cover."""
-    groups: dict[tuple, list[Span]] = {}
-    for s in spans:
-        groups.setdefault(s[:2], []).append(s)
-    open_spans: list[Span] = []
-    for group in groups.values():
-        if any(s[5] == 1 for s in group):
-            open_spans += group
-        else:
-            for s in group:
-                yield s[0], s[3], 0, s[4] + window - 1
-    if not open_spans:
-        return
-    data = np.frombuffer(b"".join(s[6] for s in open_spans), np.uint8)
+    data = np.frombuffer(b"".join(s[6] for s in spans), np.uint8)
     ids = buckets(data, window)
-    sizes = np.array([len(s[6]) for s in open_spans])
+    sizes = np.array([len(s[6]) for s in spans])
     begin = np.cumsum(sizes) - sizes
-    counts = np.array([s[4] for s in open_spans])
-    owner = np.repeat(np.arange(len(open_spans)), counts)
+    counts = np.array([s[4] for s in spans])
+    owner = np.repeat(np.arange(len(spans)), counts)
     first = np.cumsum(counts) - counts
     within = np.arange(len(owner)) - first[owner]
     _, bucket = np.unique(ids[begin[owner] + within], return_inverse=True)
-    weight = np.minimum(2, np.array([s[5] for s in open_spans]))[owner]
+    weight = np.minimum(2, np.array([s[5] for s in spans]))[owner]
     twice = np.bincount(bucket, weight)[bucket] > 1
     # runs of repeated windows, by span
     edge = np.ones(len(owner), bool)
@@ -96,7 +96,7 @@ def repeated_windows(spans: list[Span], window: int = WINDOW) -> Iterator[tuple[
     starts = np.flatnonzero(edge)
     stops = np.append(starts[1:], len(owner))
     for a, b in zip(starts[twice[starts]], stops[twice[starts]], strict=True):
-        s = open_spans[owner[a]]
+        s = spans[owner[a]]
         yield s[0], s[3], int(within[a]), int(within[b - 1]) + window
 
 

@@ -93,6 +93,16 @@ def test_bucket_refinement_tells_windows_apart():
     assert all((windows[i] == windows[j]) == (ids[i] == ids[j]) for i in range(0, 300, 7) for j in range(0, len(windows), 5))
 
 
+@pytest.mark.parametrize("window", [3, 8, 20, 64])
+def test_buckets_order_positions_as_the_bytes_of_their_windows(window):
+    data = np.frombuffer((prose(200, 31) + prose(200, 31) + "ab" * 90 + "\xff\x00").encode("latin-1", "replace"), np.uint8)
+    ids = suffix_dedup.buckets(data, window)
+    windows = [data[i : i + window].tobytes() for i in range(len(data) - window + 1)]
+    order = sorted(range(len(windows)), key=windows.__getitem__)
+    for i, j in zip(order, order[1:], strict=False):
+        assert (ids[i] == ids[j]) if windows[i] == windows[j] else (ids[i] < ids[j])
+
+
 def test_word_hashes_depend_on_the_word_only():
     data, _ = hashing.join_texts([b"one  two\tthree one", b"averyveryverylongword two", b"averyveryverylongworD"])
     starts, ends = hashing.word_bounds(data)

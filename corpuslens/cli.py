@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import uuid
 from pathlib import Path
 
@@ -29,25 +30,40 @@ TABLES = {"repositories": schemas.REPOSITORIES, "files": schemas.FILES, "snippet
 
 
 class Store:
-    """Versions of each table in a folder; a write makes a new version and then points to it."""
+    """Versions of each table in a folder. Staged versions become current together, when commit replaces the one file that names them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, Path(folder)
+        self.staged: dict[str, str] = {}
+
+    def current(self) -> dict[str, str]:
+        pointer = self.folder / "current.json"
+        return json.loads(pointer.read_text()) if pointer.exists() else {}
 
     def read(self, name: str) -> DataFrame:
-        pointer = self.folder / f"{name}.current"
-        if not pointer.exists():
+        version = self.current().get(name)
+        if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / pointer.read_text()))
+        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / version))
 
-    def write(self, name: str, rows: DataFrame) -> None:
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """Writes a version that is not current yet, and gives it."""
         schema = TABLES[name]
         known = set(rows.columns)
         version = f"{name}-{uuid.uuid4().hex[:12]}"
         rows.select(*[(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(str(self.folder / version))
-        pointer = self.folder / f"{name}.current.new"
-        pointer.write_text(version)
-        pointer.rename(self.folder / f"{name}.current")
+        self.staged[name] = version
+        return self.spark.read.schema(schema).parquet(str(self.folder / version))
+
+    def commit(self) -> None:
+        pointer = self.folder / "current.json.new"
+        pointer.write_text(json.dumps(self.current() | self.staged))
+        pointer.rename(self.folder / "current.json")
+        self.staged = {}
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self.stage(name, rows)
+        self.commit()
 
 
 def load(spark: SparkSession, root: str, store: Store, max_tokens: int = 100) -> None:
@@ -55,17 +71,18 @@ def load(spark: SparkSession, root: str, store: Store, max_tokens: int = 100) ->
     scanned = sources.scan_sources(spark, root).filter("error is null").withColumn("path_id", F.xxhash64("path"))
     old = store.read("repositories")
     names = dml.get_or_create(old, scanned.select(F.col("repository").alias("name"), "label", F.col("path").alias("at")), "at")
-    store.write("repositories", dml.insert(old, names.withColumns({"processed": F.lit(False), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}), "repository_id", "at"))
-    ids = store.read("repositories").select("repository_id", F.col("name").alias("repository"))
+    repositories = store.stage("repositories", dml.insert(old, names.withColumns({"processed": F.lit(False), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}), "repository_id", "at"))
+    ids = repositories.select("repository_id", F.col("name").alias("repository"))
     chunks, failed = chunker.chunk_files(scanned.select(F.col("path_id").alias("file_id"), "language", "source"), max_tokens)
     good = scanned.join(failed.select(F.col("file_id").alias("path_id")), "path_id", "left_anti").join(ids, "repository")
     before = store.read("files")
     new = good.select("repository_id", "language", "filename", F.col("path").alias("filepath"), F.lit(False).alias("processed"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), F.col("path").alias("at"))
     known = before.select("filepath")
-    store.write("files", dml.insert(before, new.join(known, "filepath", "left_anti"), "file_id", "at"))
-    owners = store.read("files").join(before.select("file_id"), "file_id", "left_anti").select(F.col("file_id").alias("owner"), F.xxhash64("filepath").alias("file_id"))
+    files = store.stage("files", dml.insert(before, new.join(known, "filepath", "left_anti"), "file_id", "at"))
+    owners = files.join(before.select("file_id"), "file_id", "left_anti").select(F.col("file_id").alias("owner"), F.xxhash64("filepath").alias("file_id"))
     rows = chunks.join(owners, "file_id").select(F.col("owner").alias("file_id"), "start_line", "end_line", "code", F.lit(False).alias("processed"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), F.struct("owner", "chunk_no").alias("at"))
-    store.write("snippets", dml.insert(store.read("snippets"), rows, "snippet_id", "at"))
+    store.stage("snippets", dml.insert(store.read("snippets"), rows, "snippet_id", "at"))
+    store.commit()
 
 
 def pending_prompts(store: Store, per_prompt: int) -> DataFrame:
@@ -74,15 +91,16 @@ def pending_prompts(store: Store, per_prompt: int) -> DataFrame:
 
 
 def store_annotations(store: Store, annotations: DataFrame) -> None:
-    """New functionalities, then processed flags up to the repositories. Doing it twice changes nothing."""
+    """New functionalities, then processed flags up to the repositories, committed together. Doing it twice changes nothing."""
     snippets = store.read("snippets")
     found = annotate.new_functionalities(annotations, snippets, normalize=code.mapped(code.normalize_tag, "string")).withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "at": F.struct("snippet_id", "ordinal")}).drop("ordinal")
-    store.write("functionalities", dml.insert(store.read("functionalities"), found, "functionality_id", "at"))
+    store.stage("functionalities", dml.insert(store.read("functionalities"), found, "functionality_id", "at"))
     done = annotate.mark_processed(snippets, annotations)
     files, repositories = rollup.backfill(store.read("repositories"), store.read("files"), done)
-    store.write("snippets", done)
-    store.write("files", files)
-    store.write("repositories", repositories)
+    store.stage("snippets", done)
+    store.stage("files", files)
+    store.stage("repositories", repositories)
+    store.commit()
 
 
 def split(store: Store, test: float) -> None:
@@ -92,8 +110,8 @@ def split(store: Store, test: float) -> None:
     payload = owned.select(F.col("functionality_id").cast("long").alias("id"), F.struct("repository_id", F.lit("full").alias("split"), "tag").alias("payload"))
     fresh = vectors.l2_normalized(embedded).withColumn("vector", F.col("vector").cast("array<float>")).join(payload, "id")
     parts = splits.stratified_split(store.read("repositories").drop("split"), "repository_id", "label", test)
-    store.write("repositories", parts)
-    store.write("vectors", splits.propagate_split(store.read("repositories"), dml.upsert(store.read("vectors"), fresh, "id")))
+    store.stage("vectors", splits.propagate_split(store.stage("repositories", parts), dml.upsert(store.read("vectors"), fresh, "id")))
+    store.commit()
 
 
 def cluster(store: Store, mode: str, k: int | None) -> None:
@@ -113,7 +131,8 @@ def classify_repositories(store: Store, mode: str, k: int) -> None:
     place = str(store.folder / "classifier")
     counts = relational.cluster_counts(store.read("functionalities"), store.read("snippets"), store.read("files"))
     rows = relational.with_binary_label(store.read("repositories").filter("processed").select("repository_id", "label", "split"))
-    features = encode.sparse_features(rows.withColumn("y", encode.label_index(F.col("label")).cast("double")), encode.percentages(encode.validated(counts, k)), k, "pct")
+    shares = encode.frobenius_scaled(encode.percentages(encode.validated(counts, k)))
+    features = encode.sparse_features(rows.withColumn("y", encode.label_index(F.col("label")).cast("double")), shares, k)
     if mode == "train":
         sources.save_model(classify.fit(features.filter("split = 'train'")), place)
         return

@@ -63,12 +63,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int, items: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def checked_broadcast(df: DataFrame, row_bytes: int | Column, items: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hints a broadcast of a written table if its counted size is under the limit; beyond it, Spark shuffles.
 
-    row_bytes: an upper estimate for a row; items: an array column whose elements count 8 bytes each.
+    row_bytes: an upper estimate for a row, or each row's own size; items: an array column whose elements count 8 bytes each.
     """
-    size = F.count(F.lit(1)) * F.lit(row_bytes)
+    size = F.coalesce(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long")), F.lit(0))
     if items:
         size = size + F.coalesce(F.sum(F.size(items).cast("long")), F.lit(0)) * 8
     return F.broadcast(df) if df.agg(size).first()[0] <= limit else df

@@ -12,7 +12,9 @@ Hand-written rules ("host/path") come first: a rule fits its host and all
 subdomains if the path starts with its path; the longest fitting rule wins.
 
 Defined results: a null URL or one without "://" has an empty host and path,
-no tokens, and is allowed; repeated rows and ids are judged each; no labels,
+no tokens, and is allowed; very long URLs are judged whole; repeated rows and
+ids are judged each; several labels of an id make it bad if one says so; of
+several mined rules that match any one blocks, so ties need no order; no labels,
 or no rule that passes, means that only hand-written rules block; empty tables
 give empty tables; further columns are kept (host, path, rule, verdict are
 overwritten).
@@ -20,6 +22,8 @@ overwritten).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,16 +68,17 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001,
     n = rows.count()
     if n < min_count:
         return none
-    support, bad_pages = max(min_support, min_count / n), max(1, rows.filter(F.array_contains("items", BAD)).count())
-    # at most (tokens of a URL) / support rows
-    useful = [r[0] for r in rows.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= support * n).select("t").collect()]
+    least, bad_pages = max(min_count, math.ceil(min_support * n)), max(1, rows.filter(F.array_contains("items", BAD)).count())
+    # at most (tokens of a URL) / min_support rows
+    useful = [r[0] for r in rows.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= least).select("t").collect()]
     if not useful:
         return none
     kept = rows.withColumn("items", F.array_intersect("items", F.array(*map(F.lit, useful)).cast("array<string>"))).filter(F.size("items") > 0)
-    # pages without a useful token hold no itemset but count for the support
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / max(1, kept.count())), minConfidence=min_confidence).fit(kept)
+    # pages without a useful token hold no itemset but count for the support; half a page less makes the bound safe from rounding
+    n_kept = kept.count()
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_kept, minConfidence=min_confidence).fit(kept)
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD).withColumn("lift", F.col("confidence") * n / bad_pages)
-    rules = rules.filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * kept.count() / n).alias("support"))
+    rules = rules.filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n_kept / n).alias("support"))
     rules = C.written(rules.withColumn("size", F.size("antecedent")), "url-rules")
     other = rules.select(F.col("antecedent").alias("a2"), F.col("size").alias("s2"), F.explode("antecedent").alias("t"))
     implied = rules.withColumn("t", F.explode("antecedent")).join(other, "t").filter("s2 < size").filter(F.size(F.array_except("a2", "antecedent")) == 0).select("antecedent").distinct()
@@ -84,7 +89,7 @@ def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls (column url) that a mined rule matches, by an inverted index of the rules' tokens."""
     index = rules.select("rule_id", "size", F.explode("antecedent").alias("token"))
     tokens = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
-    hits = tokens.join(C.checked_broadcast(index, 120), "token").groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    hits = tokens.join(C.checked_broadcast(index, F.octet_length("token") + 64), "token").groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return hits.filter("n = size").select("url").distinct()
 
 
@@ -104,7 +109,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     out = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     out = out.withColumn("_rule", rule_choice(F.col("host"), F.col("path"), rules))
     hit = C.written(blocked_urls(pages.select(F.col(url_col).alias("url")), mined), "blocked-urls").withColumn("_blocked", F.lit(True))
-    hit = C.checked_broadcast(hit.withColumnRenamed("url", "_url"), 200)
+    hit = C.checked_broadcast(hit.withColumnRenamed("url", "_url"), F.octet_length("_url") + 48)
     out = out.join(hit, out[url_col] == F.col("_url"), "left")
     out = out.withColumn("verdict", F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow"))))
     return out.withColumn("rule", F.col("_rule.rule")).drop("_rule", "_url", "_blocked")

@@ -1,6 +1,8 @@
 """Token output, packing, chat formatting and URL filtering: exact round trips and brute force."""
 
 import hashlib
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -199,3 +201,37 @@ def test_a_bad_label_of_many_rare_domains_is_mined(spark):
     assert ["l:ads"] in [r["antecedent"] for r in mined.collect()]
     got = url_filter.filter_urls(pages, labels, [])
     assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == {i for i, u in rows if "/ads." in u}
+
+
+def brute_tokens(url):
+    rest = url.split("://", 1)[1]
+    host, *segments = rest.split("?")[0].split("/")
+    parts = host.split(".")
+    query = rest.split("?")[1:]
+    out = {"h:" + ".".join(parts[i:]) for i in range(len(parts))} | {"l:" + p for p in parts} | {"p:" + s for s in segments if s}
+    return out | {"q:" + q.split("=")[0] for q in query}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_verdicts_match_brute_force(spark, seed):
+    draw = random.Random(seed)
+    urls = [f"http://{draw.choice('abc')}.{draw.choice('xyz')}/{draw.choice(['ads', 'news'])}/{draw.choice(['u', 'v'])}{draw.choice(['', '?k=1'])}" for _ in range(400)]
+    # a page is bad by chance, more often on some token sets
+    bad = [int(draw.random() < (0.7 if "a.x" in u and "ads" in u else 0.5 if "/v?" in u else 0.15)) for u in urls]
+    n, count, confidence, lift = 300, 6, 0.45, 1.3
+    tokens = [brute_tokens(u) for u in urls]
+    both, alone = {}, {}
+    for t, b in zip(tokens[:n], bad[:n], strict=True):
+        for k in range(1, len(t) + 1):
+            for s in itertools.combinations(sorted(t), k):
+                alone[s] = alone.get(s, 0) + 1
+                both[s] = both.get(s, 0) + b
+    rules = [set(s) for s, x in both.items() if x >= count and x / alone[s] >= confidence and x / alone[s] * n / sum(bad[:n]) >= lift]
+    want = {i for i, t in enumerate(tokens) if any(r <= t for r in rules)}
+    assert rules and 0 < len(want) < len(urls)
+    # a clashing and a further column, a repeated label
+    pages = spark.createDataFrame([(i, u, "h", i) for i, u in enumerate(urls)], "page_id long, url string, host string, more long")
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad[:n])] + [(5, 0)], "doc_id long, toxic int")
+    got = url_filter.filter_urls(pages, labels, [], min_support=0.0, min_count=count, min_confidence=confidence, min_lift=lift)
+    assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == want
+    assert got.columns == ["page_id", "url", "host", "more", "path", "verdict", "rule"] and got.filter("host = 'h'").count() == 0

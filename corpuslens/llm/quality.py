@@ -209,7 +209,9 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep
     # every table of estimates has at most three rows of 300 bytes and a key for each of these groups
     few = level.agg(3 * F.coalesce(F.sum(2 * F.octet_length("g0") + 300), F.lit(0))).first()[0] <= C.BROADCAST_BYTES
     side = F.broadcast if few else lambda x: x
-    estimate = mcd(pools(rows.filter(~F.col("base_failed")), level, side), keep_share, steps, floor, side)
+    # every step scans these rows, so they are joined with their keys only once
+    vectors = C.written(pools(rows.filter(~F.col("base_failed")), level, side), "vectors")
+    estimate = mcd(vectors, keep_share, steps, floor, side)
     by_group = C.written(level.drop("g1").join(estimate, "g").drop("g", "k", "logdet"), "estimates")
     judged = distanced(rows.join(side(by_group), "g0", "left"))
     judged = judged.withColumn("distance", F.col("d2") / F.greatest("scale", F.lit(1.0)))

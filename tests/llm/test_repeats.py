@@ -188,3 +188,35 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000}
+
+
+def test_near_duplicates_leave_neither_tables_nor_shuffle_files(spark):
+    import os
+    import time
+
+    from corpuslens.llm import common as C
+
+    folder = C.shared_dir(spark).removeprefix("file://") + "/corpuslens"
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+    had, files = tables(), shuffled()
+    C.written(spark.range(1000).repartition(3, "id"), "test-rows")
+    for _ in range(50):  # they go in the background
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    ngram_join.keep_first(docs_of(spark, near_texts()[:40]))
+    assert sorted(name.rsplit("-", 1)[0] for name in tables() - had) == ["near-copies", "repeats-without-id", "test-rows"]
+
+
+def test_shared_shingles_beyond_the_heavy_ones_go_last(spark):
+    common = prose(40, 200)
+    texts = [f"{prose(30, 300 + i)} {common}" for i in range(60)]
+    heavy, levels = ngram_join.shared_shingles(docs_of(spark, texts), 5, 0)
+    order = ngram_join.Order(heavy, levels)
+    shared = ngram_join.shingle_sets([common.encode()])[0]
+    alone = np.setdiff1d(ngram_join.shingle_sets([t.encode() for t in texts])[0], shared)
+    assert not len(heavy) and (order.of(shared) >> np.uint64(42)).min() >= 9  # 60 of each
+    assert np.mean(order.of(alone) < order.of(shared).min()) > 0.95  # but for those that share a cell

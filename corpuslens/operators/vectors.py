@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.materialize import fixed
+from corpuslens.operators.relational import numbered
+
 
 def by_payload(vectors: DataFrame, field: str, values: list) -> DataFrame:
     return vectors.filter(F.col(f"payload.{field}").isin(values))
@@ -162,7 +166,7 @@ def embed(rows: DataFrame, cached: DataFrame | None = None, encoder: Callable[[l
     return fresh if cached is None else cached.join(rows.select("id"), "id", "left_semi").select("id", "vector").unionByName(fresh)
 
 
-def kmeans_fit(vectors: DataFrame, k: int, seed: int = 42, column: str = "vector"):
+def kmeans_model(vectors: DataFrame, k: int, seed: int = 42, column: str = "vector"):
     """A k-means model of the normalised vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -171,6 +175,216 @@ def kmeans_fit(vectors: DataFrame, k: int, seed: int = 42, column: str = "vector
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
 
 
+def packed(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """n, dims, keys, rows: blocks of normalised vectors as bytes (keys: a 64-bit hash of each row), dealt evenly, in the session's shared folder.
+
+    All vectors must have one length and finite numbers.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column("vector")
+            if not n:
+                continue
+            values = lists.flatten()
+            table = values.to_numpy(zero_copy_only=False).astype(float)
+            dims = len(table) // n
+            if lists.null_count or len(set(np.diff(lists.offsets.to_numpy()).tolist())) > 1 or not np.isfinite(table).all():
+                raise ValueError("vectors must have one length and finite numbers")
+            table = table.reshape(n, dims)
+            size = np.sqrt((table * table).sum(axis=1))
+            table /= np.where(size > 0, size, 1.0)[:, None]
+            keys = batch.column("key").to_numpy()
+            for a in range(0, n, 4096):
+                some = [pa.array([x]) for x in (len(keys[a : a + 4096]), dims, keys[a : a + 4096].tobytes(), table[a : a + 4096].tobytes())]
+                yield pa.RecordBatch.from_arrays(some, names=["n", "dims", "keys", "rows"])
+
+    rows = vectors.select(F.xxhash64("id", column).alias("key"), F.col(column).cast("array<double>").alias("vector"))
+    return fixed(rows.repartition(vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "n long, dims long, keys binary, rows binary"))
+
+
+def nearest_in_tiles() -> Callable:
+    """A function of rows and centres: each row's nearest centre (ties: the first) and squared distance."""
+    import numpy as np
+
+    def nearest(rows, centers, high=256, wide=1024):
+        x = np.hstack([rows, np.ones((len(rows), 1))])
+        c = np.vstack([-2 * centers.T, (centers * centers).sum(axis=1)])
+        tiles = [np.ascontiguousarray(c[:, b : b + wide]) for b in range(0, len(centers), wide)]
+        at, least = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+        for a in range(0, len(rows), high):
+            part, to = x[a : a + high], np.arange(len(x[a : a + high]))
+            for b, tile in enumerate(tiles):
+                found = part @ tile
+                i = found.argmin(axis=1)
+                value = found[to, i]
+                better = value < least[a : a + high]
+                at[a : a + high][better] = i[better] + b * wide
+                least[a : a + high][better] = value[better]
+        away = least + (rows * rows).sum(axis=1)
+        return at, np.where(away > 1e-12, away, 0.0)
+
+    return nearest
+
+
+class Summary(NamedTuple):
+    trainingCost: float
+    numIter: int
+
+
+class Clusters(NamedTuple):
+    """centers: k (fewer if there are fewer distinct vectors) rows of the length of the vectors; summary: as of Spark's k-means."""
+
+    centers: object
+    summary: Summary
+
+
+def kmeans_start(blocks: DataFrame, k: int, seed: int):
+    """k rows by k-means++, in batches.
+
+    Rows arrive by a Poisson process with their squared distance from the
+    centres so far as rate; an arrival counts with the share of that distance
+    left after those before it. So each round may add as many centres as there
+    are, or more, and each row's draw depends on itself and the seed only.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    context, nearest = blocks.sparkSession.sparkContext, nearest_in_tiles()
+    n, dims = blocks.agg(F.sum("n"), F.max("dims")).first()
+    centers, bound, turn = np.zeros((0, dims)), 4.0 * n, 0
+
+    def uniform(keys, salt):
+        """Numbers in (0, 1) by splitmix64."""
+        with np.errstate(over="ignore"):
+            x = keys.view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+    while len(centers) < k:
+        wanted = max(64.0, min(4.0 * len(centers), 1.5 * (k - len(centers)) + 32))
+        sent, salt, until = context.broadcast(centers), 2 * (seed * 1000 + turn), wanted / bound
+
+        def run(batches, sent=sent, salt=salt, until=until):
+            total = 0.0
+            kind = ["time", "rate", "draw", "row", "total"]
+            for batch in batches:
+                for dims, keys, rows in zip(*[batch.column(c).to_pylist() for c in ("dims", "keys", "rows")], strict=True):
+                    keys, rows = np.frombuffer(keys, np.int64), np.frombuffer(rows).reshape(-1, dims)
+                    # before the first centre, as far away as unit vectors can be
+                    rate = nearest(rows, sent.value)[1] if len(sent.value) else np.full(len(rows), 4.0)
+                    total += float(rate.sum())
+                    with np.errstate(divide="ignore"):
+                        time = -np.log(uniform(keys, salt)) / rate
+                    came = np.flatnonzero(time < until)
+                    if len(came):
+                        draw = uniform(keys[came], salt + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(time[came]), pa.array(rate[came]), pa.array(draw), pa.array([r.tobytes() for r in rows[came]], pa.binary()), pa.array(np.zeros(len(came)))], names=kind)
+            yield pa.RecordBatch.from_arrays([pa.array([np.inf]), pa.array([0.0]), pa.array([0.0]), pa.array([b""], pa.binary()), pa.array([total])], names=kind)
+
+        got = blocks.mapInArrow(run, "time double, rate double, draw double, row binary, total double").toArrow()
+        sent.destroy()
+        bound = sum(got.column("total").to_pylist())
+        if not bound:
+            break
+        time, rate, draw = (got.column(c).to_numpy() for c in ("time", "rate", "draw"))
+        order = np.argsort(time, kind="stable")[: int(np.isfinite(time).sum())]
+        raw, fresh = got.column("row"), np.zeros((0, dims))
+        for a in range(0, len(order), 512):
+            some = order[a : a + 512]
+            rows = np.frombuffer(b"".join(raw[int(i)].as_py() for i in some)).reshape(-1, dims)
+            left = np.minimum(rate[some], nearest(rows, fresh)[1]) if len(fresh) else rate[some].copy()
+            apart = np.maximum(0.0, (rows * rows).sum(axis=1)[:, None] + (rows * rows).sum(axis=1)[None] - 2 * rows @ rows.T)
+            taken = []
+            for i in range(len(some)):
+                if left[i] > 1e-12 and draw[some[i]] * rate[some[i]] < left[i]:
+                    taken.append(i)
+                    left = np.minimum(left, apart[i])
+            fresh = np.vstack([fresh, rows[taken]])
+            if len(centers) + len(fresh) >= k:
+                break
+        centers, turn = np.vstack([centers, fresh])[:k], turn + 1
+    return centers
+
+
+def kmeans_step(blocks: DataFrame, centers, most: int = 64 << 20):
+    """(sums, counts, cost): of the rows nearest to each centre; tasks' sums are added up by blocks of centres first where all of them take more than `most` bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    nearest, sent = nearest_in_tiles(), blocks.sparkSession.sparkContext.broadcast(centers)
+    kind, wide = "b long, at binary, n binary, s binary, cost double", 4096
+
+    def out(sums, counts, cost, first=0):
+        for b in range(0, len(counts), wide):
+            at = np.flatnonzero(counts[b : b + wide]) + b
+            some = [[(first + b) // wide], [(at + first).tobytes()], [counts[at].tobytes()], [sums[at].tobytes()], [0.0 if b else cost]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in some], names=["b", "at", "n", "s", "cost"])
+
+    def run(batches):
+        k, dims = sent.value.shape
+        sums, counts, cost = np.zeros((k, dims)), np.zeros(k, np.int64), 0.0
+        for batch in batches:
+            for raw in batch.column("rows").to_pylist():
+                rows = np.frombuffer(raw).reshape(-1, dims)
+                at, away = nearest(rows, sent.value)
+                order = np.argsort(at, kind="stable")
+                which, start, size = np.unique(at[order], return_index=True, return_counts=True)
+                sums[which] += np.add.reduceat(rows[order], start)
+                counts[which] += size
+                cost += float(away.sum())
+        yield from out(sums, counts, cost)
+
+    def added(found, sums, counts, first=0):
+        cost = 0.0
+        for at, n, s, c in found:
+            at = np.frombuffer(at, np.int64) - first
+            counts[at] += np.frombuffer(n, np.int64)
+            sums[at] += np.frombuffer(s).reshape(-1, sums.shape[1])
+            cost += c
+        return cost
+
+    def merged(batches):
+        dims, blocks = sent.value.shape[1], {}
+        for batch in batches:
+            for b, *found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums, counts, cost = blocks.get(b, (np.zeros((wide, dims)), np.zeros(wide, np.int64), 0.0))
+                blocks[b] = sums, counts, cost + added([found], sums, counts, b * wide)
+        for b, (sums, counts, cost) in blocks.items():
+            yield from out(sums, counts, cost, b * wide)
+
+    parts = blocks.mapInArrow(run, kind)
+    if blocks.sparkSession.sparkContext.defaultParallelism * centers.nbytes > most:
+        parts = parts.repartition("b").mapInArrow(merged, kind)
+    got = parts.toArrow()
+    sent.destroy()
+    sums, counts = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+    cost = added(zip(*[got.column(c).to_pylist() for c in ("at", "n", "s", "cost")], strict=True), sums, counts)
+    return sums, counts, cost
+
+
+def kmeans_fit(blocks: DataFrame, k: int, seed: int = 42, most_steps: int = 20, tol: float = 1e-4) -> Clusters:
+    """Lloyd's k-means over all rows of `packed` blocks, from k-means++; the cost is that of the centres returned.
+
+    Steps and tolerance are those of Spark's k-means, whose k-means|| and table
+    of distances between centres need a driver that grows with k squared.
+    """
+    import numpy as np
+
+    centers, steps, moved = kmeans_start(blocks, k, seed), 0, math.inf
+    while True:
+        sums, counts, cost = kmeans_step(blocks, centers)
+        if steps == most_steps or moved <= tol:
+            return Clusters(centers, Summary(cost, steps))
+        # a centre without rows stays where it is
+        after = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+        moved = float(np.sqrt(((after - centers) ** 2).sum(axis=1)).max())
+        centers, steps = after, steps + 1
+
+
 def kmeans_assign(model, vectors: DataFrame, column: str = "vector") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
@@ -210,21 +424,43 @@ def knee(xs: list[float], ys: list[float], sensitivity: float = 1.0) -> float |
     return None
 
 
-def elbow_search(vectors: DataFrame, n: int, least_members: int = 10, patience: int = 4, points: int = 30, seed: int = 42) -> tuple[int | None, list[tuple[int, float]]]:
-    """(knee, [(k, cost)]): fits k-means along the grid; stops when the knee stays the same for `patience` more steps."""
-    rows = exactly_n(vectors, n).cache()
+def elbow_search(vectors: DataFrame, n: int, least_members: int = 10, patience: int = 4, points: int = 30, seed: int = 42, ahead: int = 4) -> tuple[int | None, list[tuple[int, float]]]:
+    """(knee, [(k, cost)]): fits k-means to the first n vectors by id along the grid; stops when the knee stays the same for `patience` more steps.
+
+    `ahead` fits run at once, as one alone leaves workers idle between its short
+    steps; those begun beyond the stop are left out.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    grid = k_grid(n, least_members, points)
+    if not grid:
+        return None, []
+    # numbered, as a limit would leave all rows to one task
+    rows = packed(numbered(vectors.select("id", "vector"), "id").filter(F.col("row_no") <= n))
+    count, short, long = rows.agg(F.sum("n"), F.min("dims"), F.max("dims")).first()
+    if count != n:
+        raise ValueError("fewer vectors than asked for")
+    if short != long:
+        raise ValueError("vectors must have one length and finite numbers")
     curve: list[tuple[int, float]] = []
     found, same = None, 0
-    for k in k_grid(n, least_members, points):
-        curve.append((k, kmeans_fit(rows, k, seed).summary.trainingCost))
-        if len(curve) < 3:
-            continue
-        now = knee([float(a) for a, _ in curve], [b for _, b in curve])
-        same = same + 1 if now is not None and now == found else 0
-        found = now
-        if same >= patience:
-            break
-    rows.unpersist()
+    with ThreadPoolExecutor(ahead) as pool:
+        fits = [pool.submit(inheritable_thread_target(vectors.sparkSession)(lambda k=k: kmeans_fit(rows, k, seed))) for k in grid]
+        try:
+            for k, fit in zip(grid, fits, strict=True):
+                curve.append((k, fit.result().summary.trainingCost))
+                if len(curve) < 3:
+                    continue
+                now = knee([float(a) for a, _ in curve], [b for _, b in curve])
+                same = same + 1 if now is not None and now == found else 0
+                found = now
+                if same >= patience:
+                    break
+        finally:
+            for fit in fits:
+                fit.cancel()
     return (None if found is None else int(found)), curve
 
 
@@ -237,7 +473,7 @@ def run_clustering(vectors: DataFrame, mode: str, k: int | None = None, model=No
         return best, curve
     if mode == "train":
         part = by_payload(vectors, "split", ["train"])
-        model = kmeans_fit(part, k) if model is None else model
+        model = kmeans_model(part, k) if model is None else model
         return model, kmeans_assign(model, part)
     if mode == "test":
         return model, kmeans_assign(model, by_payload(vectors, "split", ["test"]))

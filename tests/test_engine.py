@@ -352,6 +352,51 @@ def test_vectors(spark):
     assert out[1] == [3.0, 4.0] and len(out[9]) == 256 and set(out) == {1, 9, 3}
 
 
+def test_kmeans_fits_all_rows_in_all_tasks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(3000, 6)) + 4 * rng.normal(size=(7, 6))[rng.integers(0, 7, 3000)]
+    data[:5] = 0
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "id long, vector array<double>")
+    unit = data / np.where((size := np.linalg.norm(data, axis=1)) > 0, size, 1)[:, None]
+    away = lambda c: ((unit[:, None] - c[None]) ** 2).sum(axis=2)
+    blocks = vectors.packed(table)
+    assert sum(r["n"] > 0 for r in blocks.collect()) == blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    for k in (1, 7, 300):
+        start = vectors.kmeans_start(blocks, k, 42)
+        assert start.shape == (k, 6) and len(np.unique(start, axis=0)) == k and np.allclose(away(start).min(axis=0), 0)
+        assert (start == vectors.kmeans_start(blocks.repartition(3), k, 42)).all()
+        for c in (start, start + 0.01):
+            found, want = vectors.kmeans_step(blocks, c), away(c).argmin(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, want, unit)
+            for got in (found, vectors.kmeans_step(blocks, c, most=0)):
+                assert np.allclose(got[0], sums) and (got[1] == np.bincount(want, minlength=k)).all() and np.isclose(got[2], away(c).min(axis=1).sum())
+        centers = start
+        for _ in range(20):
+            centers = np.stack([unit[at == j].mean(axis=0) if (at == j).any() else centers[j] for at in [away(centers).argmin(axis=1)] for j in range(k)])
+        fit = vectors.kmeans_fit(blocks, k)
+        assert np.isclose(fit.summary.trainingCost, away(centers).min(axis=1).sum(), rtol=1e-3) and np.isclose(fit.summary.trainingCost, away(fit.centers).min(axis=1).sum())
+    assert len(vectors.kmeans_fit(vectors.packed(table.filter("id < 6")), 4).centers) == 2  # zeros and one other
+
+
+def test_elbow_search_deals_the_first_n_rows_to_all_tasks(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "id long, vector array<double>")
+    seen = []
+    monkeypatch.setattr(vectors, "kmeans_fit", lambda rows, k, seed: seen.append(rows) or SimpleNamespace(summary=SimpleNamespace(trainingCost=-float(k))))
+    vectors.elbow_search(table, 300)
+    assert seen[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert {id(x) for x in seen} == {id(seen[0])} and seen[0].agg({"n": "sum"}).first()[0] == 300
+    assert vectors.elbow_search(table.limit(0), 0) == (None, [])
+    with pytest.raises(ValueError, match="fewer"):
+        vectors.elbow_search(table, 500)
+    with pytest.raises(Exception, match="one length"):
+        vectors.elbow_search(table.selectExpr("id", "if(id = 7, array(1D), vector) vector"), 400)
+
+
 def test_knee_and_grid():
     assert vectors.k_grid(1000, 10, 5) == [2, 5, 14, 37, 100] and vectors.k_grid(10, 10) == []
     xs = [float(x) for x in range(1, 21)]
